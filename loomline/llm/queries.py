@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from loomline.llm.substring import op3_substring_dedup
 from loomline.llm.suffixes import op10_suffix_array_dedup
+from loomline.llm.token_counts import op5_token_counts
+from loomline.llm.token_files import op9_token_ids
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op9_token_ids": op9_token_ids,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
