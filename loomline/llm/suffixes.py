@@ -5,8 +5,9 @@ several contexts, each context once; equal contexts collapse before (see ``repea
 contexts are dealt by range of the suffix that begins at the anchor, so by its leading
 tokens, with splitters that Spark samples. Each bucket sorts the suffixes of its windows by
 multikey quicksort on 8-byte words: ties of one word go on to the next, single ones drop out.
-An anchor whose contexts lie in several buckets is at the edge of a bucket: the bucket hands on
-its smallest occurrence of each such window, and these are compared across boundaries.
+A leading seed that several buckets hold is at the edge of each of them; its contexts are also
+compared across boundaries: dealt by the bytes that all windows of a narrow band of offsets
+share, so that a hot seed spreads, and sorted in the same way.
 
 Suffixes are dealt by the anchor inside them and not by their own first bytes: equal windows
 share both, but so a context travels once instead of once for each of its windows.
@@ -22,9 +23,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +38,9 @@ WINDOW, SEED = 100, 24
 #: Contexts that a bucket takes; about 150 bytes each.
 BUCKET = 30_000
 CONTEXT = "suffix binary, left binary, doc long, meta long"
-SORTED = "doc long, meta long, win binary"
+SORTED = "doc long, meta long, edge binary"
+#: Offsets of the anchor in its window that a band has.
+BAND = 17
 OUT = "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
@@ -85,7 +90,8 @@ def quicksort_ties(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.n
     return live, group.astype(np.int64)
 
 
-def _bucket(suffix: pa.Array, left: pa.Array, doc: np.ndarray, meta: np.ndarray, window: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _bucket(suffix: pa.Array, left: pa.Array, doc: np.ndarray, meta: np.ndarray, window: int) -> pa.RecordBatch:
+    """Windows removed among those of a bucket's contexts."""
     s, s_at = buffers(suffix)
     l, l_at = buffers(left)
     s_len, l_len = np.diff(s_at), np.diff(l_at)
@@ -114,39 +120,48 @@ def _bucket(suffix: pa.Array, left: pa.Array, doc: np.ndarray, meta: np.ndarray,
     stop = np.flatnonzero(gone & ~(np.append(gone[1:], False) & (np.append(step[1:], 0) > 0)))
     r = row[edge]
     removed = repeats.pack(ord_[r], lo[r] + step[edge], stop - edge + 1, np.zeros(len(r), np.int64))
-    none = pa.nulls(len(r), pa.binary())
-    yield from emit(table({"doc": (doc[r], pa.int64()), "meta": (removed, pa.int64()), "win": (none, pa.binary())}))
-    # windows whose anchor other buckets may hold as well: the smallest of each class
-    lead = [x[:seed] for x in suffix.to_pylist()]
-    ends = {min(lead), max(lead)}
-    at_edge = np.fromiter((x in ends for x in lead), bool, len(lead))
-    again = np.zeros(len(row), bool)
-    again[live[~new]] = True
-    open_ = np.flatnonzero(at_edge[row] & ~again)
-    raw = text.tobytes()
-    wins = [raw[p : p + window] for p in (begin[row] + step)[open_].tolist()]
-    r = row[open_]
-    yield from emit(table({"doc": (doc[r], pa.int64()), "meta": (place[open_], pa.int64()), "win": (wins, pa.binary())}), 20_000)
-
-
-def sorted_buckets(contexts: DataFrame, window: int, seed: int, buckets: int) -> DataFrame:
-    """(doc, meta, win): win null: windows removed; else one window at a bucket's edge, meta its place."""
+    return table({"doc": (doc[r], pa.int64()), "meta": (removed, pa.int64()), "edge": (pa.nulls(len(r), pa.binary()), pa.binary())})
+
+
+def _sorted(contexts: DataFrame, window: int, seed: int) -> DataFrame:
+    """(doc, meta, edge) of each partition of contexts: windows removed; with edge, its first and last seeds and number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
             t = pa.Table.from_batches(held).combine_chunks()
-            yield from _bucket(t["suffix"].combine_chunks(), t["left"].combine_chunks(), t["doc"].to_numpy(), t["meta"].to_numpy(), window, seed)
+            suffix = t["suffix"].combine_chunks()
+            yield from emit(_bucket(suffix, t["left"].combine_chunks(), t["doc"].to_numpy(), t["meta"].to_numpy(), window))
+            seeds = [x[:seed] for x in suffix.to_pylist()]
+            yield table({"doc": ([TaskContext.get().partitionId()] * 2, pa.int64()), "meta": ([0, 0], pa.int64()), "edge": ([min(seeds), max(seeds)], pa.binary())})
+
+    return contexts.mapInArrow(run, SORTED)
 
-    return contexts.repartitionByRange(buckets, "suffix").mapInArrow(run, SORTED)
 
+def _bands(contexts: DataFrame, window: int, seed: int) -> DataFrame:
+    """Each context cut to the windows of each band of offsets, with the bytes that these windows share."""
 
-def across(edges: DataFrame) -> DataFrame:
-    """Removed windows among those at edges: a class has one row from each bucket at most, but for repeated rows."""
-    place = F.struct("doc", "meta")
-    lists = edges.groupBy("win").agg(F.array_sort(F.collect_set(place)).alias("all")).filter(F.size("all") > 1)
-    later = lists.select(F.explode(F.expr("slice(all, 2, size(all))")).alias("x")).select("x.doc", "x.meta")
-    return later.select("doc", F.shiftleft("meta", 16).bitwiseOR(F.lit(1 << 8)).alias("meta"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            suffix, left = batch.column("suffix").to_pylist(), batch.column("left").to_pylist()
+            doc, meta = batch.column("doc").to_numpy(), batch.column("meta").to_numpy()
+            ord_, lo, n, off = repeats.unpack(meta)
+            for least in range(0, window - seed + 1, BAND):
+                most = min(least + BAND - 1, window - seed)
+                far, near = np.minimum(off, most), np.maximum(off - n + 1, least)
+                r = np.flatnonzero(near <= far)
+                cut = list(zip(r.tolist(), far[r].tolist(), near[r].tolist(), strict=True))
+                yield table(
+                    {
+                        "suffix": ([suffix[i][: window - d] for i, _, d in cut], pa.binary()),
+                        "left": ([left[i][len(left[i]) - d :] for i, d, _ in cut], pa.binary()),
+                        "doc": (doc[r], pa.int64()),
+                        "meta": (repeats.pack(ord_[r], lo[r] + off[r] - far[r], far[r] - near[r] + 1, far[r]), pa.int64()),
+                        "core": ([left[i][len(left[i]) - least :] + suffix[i][: window - most] for i, _, _ in cut], pa.binary()),
+                    }
+                )
+
+    return contexts.mapInArrow(run, CONTEXT + ", core binary")
 
 
 def _apply(joined: DataFrame, window: int) -> DataFrame:
@@ -200,9 +215,14 @@ def remove_suffix_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str
     buckets = max(1, math.ceil(compare.count() / bucket))
     close = compare.select("doc", F.shiftright("meta", 47).cast("int").alias("ord"), "meta").groupBy("doc", "ord").agg(F.collect_list("meta").alias("metas"))
     contexts = written(_contexts(base.join(close, ["doc", "ord"]), window), "contexts")
-    done = written(sorted_buckets(contexts, window, seed, buckets), "buckets")
+    done = written(_sorted(contexts.repartitionByRange(buckets, "suffix"), window, seed), "buckets")
+    # two rows a bucket, so no more seeds than buckets
+    edges = done.filter("edge IS NOT NULL").groupBy("edge").agg(F.count_distinct("doc").alias("n")).filter("n > 1").select("edge")
+    cut = contexts.join(F.broadcast(edges), F.substring("suffix", 1, seed) == F.col("edge"), "left_semi")
+    again = _sorted(_bands(cut, window, seed).repartition(2 * buckets, "core").drop("core"), window, seed)
     gone = F.col("kind") == repeats.GONE
-    removed = repeats.gathered(rows.filter(gone).unionByName(found.filter(gone)).select("doc", "meta").unionByName(done.filter("win IS NULL").select("doc", "meta")).unionByName(across(done.filter("win IS NOT NULL"))))
+    parts = [x.filter(gone) for x in (rows, found)] + [x.filter("edge IS NULL") for x in (done, again)]
+    removed = repeats.gathered(reduce(DataFrame.unionByName, (x.select("doc", "meta") for x in parts)))
     return _apply(base.join(removed, ["doc", "ord"], "left"), window).withColumn("doc", restored("doc", "doc")).withColumnRenamed("doc", id_col)
 
 
