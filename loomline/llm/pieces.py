@@ -5,6 +5,9 @@ splits before every space that follows another character. Byte-level BPE: a text
 a single space between two characters that aren't white space, where its pattern starts a new
 word in any case. ``check_sentencepiece`` and ``check_byte_level`` refuse models for which this
 does not hold. Texts with Unicode white space or special strings go to the library whole.
+
+Distinct byte-level pieces are encoded as one text, since their joints are such positions
+again; the tokens' lengths in bytes then tell the pieces apart.
 """
 
 from __future__ import annotations
@@ -16,11 +19,13 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
+from loomline.llm.common import buffers
+
 #: White space beyond ASCII as UTF-8: U+0085, A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _CACHE: dict[str, tuple] = {}
-#: Distinct pieces a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+#: Bytes of joined pieces that the library gets at once.
+JOINED = 1 << 20
 
 
 def check_sentencepiece(model) -> None:
@@ -38,8 +43,8 @@ def check_byte_level(spec: dict) -> None:
         raise ValueError("not a byte-level BPE without prefix space")
 
 
-def sentencepiece_encoder(path: str) -> tuple[Callable, Callable]:
-    """(encode pieces, mark splits): the model's ids of whole pieces; which spaces split."""
+def sentencepiece_encoder(path: str) -> Callable:
+    """Encodes distinct pieces: (bounds, ids), as all encoders here do for the bytes of pieces and their offsets."""
     if path not in _CACHE:
         import sentencepiece
 
@@ -47,14 +52,21 @@ def sentencepiece_encoder(path: str) -> tuple[Callable, Callable]:
         check_sentencepiece(model)
         alone = [model.piece_to_id("▁")]
 
-        def encode(pieces: list[str]) -> list[list[int]]:
-            return [ids or alone for ids in model.encode(pieces, num_threads=1)]
+        def encode(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return flat([ids or alone for ids in model.encode(texts, num_threads=1)])
+
+        _CACHE[path] = (encode,)
+    return _CACHE[path][0]
 
-        _CACHE[path] = encode, {}
-    return _CACHE[path]
 
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+    return bounds, np.fromiter((x for ids in lists for x in ids), np.int32, int(bounds[-1]))
 
-def byte_level_encoder(path: str) -> tuple[Callable, dict, tuple[bytes, ...]]:
+
+def byte_level_encoder(path: str) -> tuple[Callable, tuple[bytes, ...]]:
+    """(encoder, special strings)."""
     if path not in _CACHE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
@@ -64,11 +76,46 @@ def byte_level_encoder(path: str) -> tuple[Callable, dict, tuple[bytes, ...]]:
         model = Tokenizer.from_file(path)
         spec = json.loads(model.to_str())
         check_byte_level(spec)
-
-        def encode(pieces: list[str]) -> list[list[int]]:
-            return [x.ids for x in model.encode_batch(pieces, add_special_tokens=False)]
-
-        _CACHE[path] = encode, {}, tuple(x["content"].encode() for x in spec.get("added_tokens", []))
+        special = tuple(x["content"].encode() for x in spec.get("added_tokens", []))
+        # a byte-level token has one character for each byte
+        length = np.zeros(model.get_vocab_size(), np.int64)
+        for token, i in model.get_vocab().items():
+            length[i] = len(token)
+
+        def encode(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            data = np.frombuffer(raw, np.uint8)
+            white = (data == 32) | ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31))
+            start, end = offsets[:-1], offsets[1:]
+            plain = end - start >= 2
+            plain[plain] &= (data[start[plain]] == 32) & ~white[start[plain] + 1] & ~white[end[plain] - 1]
+            if WIDE_SPACE.search(raw) or any(x in raw for x in special):
+                for k in np.flatnonzero(plain):
+                    piece = raw[start[k] : end[k]]
+                    plain[k] = not WIDE_SPACE.search(piece) and not any(x in piece for x in special)
+            alone = np.flatnonzero(~plain)
+            some = model.encode_batch([raw[start[k] : end[k]].decode() for k in alone.tolist()], add_special_tokens=False)
+            counts = np.zeros(len(plain), np.int64)
+            counts[alone] = [len(x.ids) for x in some]
+            which = np.flatnonzero(plain)
+            parts, done = [], 0
+            sizes = np.cumsum((end - start)[which])
+            while done < len(which):
+                upto = max(done + 1, int(np.searchsorted(sizes, (sizes[done - 1] if done else 0) + JOINED)))
+                k = which[done:upto]
+                text = b"".join(raw[a:b] for a, b in zip(start[k].tolist(), end[k].tolist(), strict=True)).decode()
+                ids = np.array(model.encode(text, add_special_tokens=False).ids, np.int32)
+                stops = np.searchsorted(np.cumsum(length[ids]), np.cumsum(end[k] - start[k]), side="left") + 1
+                counts[k] = np.diff(np.concatenate(([0], stops)))
+                parts.append(ids)
+                done = upto
+            bounds = np.concatenate(([0], np.cumsum(counts)))
+            out = np.empty(int(bounds[-1]), np.int32)
+            joined = np.repeat(plain, counts)
+            out[joined] = np.concatenate(parts) if parts else []
+            out[~joined] = [i for x in some for i in x.ids]
+            return bounds, out
+
+        _CACHE[path] = encode, special
     return _CACHE[path]
 
 
@@ -101,26 +148,19 @@ def byte_level_cuts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     return at, np.zeros(len(at), bool)
 
 
-def encode_pieces(data: np.ndarray, at: np.ndarray, drop: np.ndarray, encode: Callable, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encode_pieces(data: np.ndarray, at: np.ndarray, drop: np.ndarray, encode: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of each distinct piece: (piece -> number, offsets of numbers, all their ids). drop: leave out the first byte."""
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
     keep = np.ones(len(data), bool)
     keep[at[drop]] = False
-    offsets = np.append(at, len(data)) - np.concatenate(([0], np.cumsum(drop)))
-    offsets = offsets.astype(np.int32)
+    offsets = (np.append(at, len(data)) - np.concatenate(([0], np.cumsum(drop)))).astype(np.int32)
     raw = np.ascontiguousarray(data[keep])
     pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
     coded = pieces.dictionary_encode()
-    words = coded.dictionary.cast(pa.string()).to_pylist()
-    fresh = [w for w in words if w not in known]
-    if fresh:
-        if len(known) > REMEMBERED:
-            known.clear()
-            fresh = words
-        known.update(zip(fresh, (np.array(x, np.int32) for x in encode(fresh)), strict=True))
-    ids = [known[w] for w in words]
-    return coded.indices.to_numpy(), np.concatenate(([0], np.cumsum([len(x) for x in ids]))), np.concatenate(ids)
+    distinct, where = buffers(coded.dictionary)
+    bounds, ids = encode(distinct.tobytes(), where)
+    return coded.indices.to_numpy(), bounds, ids
 
 
 def gather(numbers: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomline.llm import pieces
 from loomline.llm.common import buffers, configure, load, slices, table
 
-CHUNK = 4 << 20
+CHUNK = 16 << 20
 OUT = "doc_id long, n_bytes long, prefix_bytes array<int>, prefix_tokens array<int>"
 
 
@@ -32,13 +32,13 @@ def count_prefixes(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
     configure(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = pieces.sentencepiece_encoder(model)
+        encode = pieces.sentencepiece_encoder(model)
         for batch in batches:
             data, offsets = buffers(batch.column("data"))
             for i, j in slices(offsets, CHUNK):
                 part, ends = data[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i]
                 at, drop = pieces.sentencepiece_cuts(part, ends)
-                number, bounds, _ = pieces.encode_pieces(part, at, drop, encode, known)
+                number, bounds, _ = pieces.encode_pieces(part, at, drop, encode)
                 counts = np.diff(bounds)[number] if len(number) else np.zeros(0, np.int64)
                 upto = np.searchsorted(at, ends)
                 total = np.concatenate(([0], np.cumsum(counts)))
@@ -72,11 +72,12 @@ def fitting_bytes(budget: int) -> Column:
 
 def prefix_count(text: bytes, prefix_bytes: list[int], prefix_tokens: list[int], end: int, model: str) -> int:
     """Exact tokens of text[:end], encoding the cut piece only."""
-    encode, _ = pieces.sentencepiece_encoder(model)
+    encode = pieces.sentencepiece_encoder(model)
     k = bisect_right(prefix_bytes, end)
     done, start = (prefix_tokens[k - 1], prefix_bytes[k - 1]) if k else (0, 0)
-    rest = text[start:end].decode("utf-8", "ignore")
-    return done + (len(encode([rest[1:] if k else rest])[0]) if rest else 0)
+    rest = text[start:end]
+    piece = rest[1:] if k else rest
+    return done + (len(encode(piece, np.array([0, len(piece)]))[1]) if rest else 0)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:

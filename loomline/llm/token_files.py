@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from loomline.llm import pieces
 from loomline.llm.common import buffers, configure, load, scratch, slices, table, written
 
-CHUNK = 4 << 20
+CHUNK = 16 << 20
 STORED = "doc_id long, row long, ids array<int>"
 END_ID = 2
 
@@ -31,7 +31,7 @@ def encode_documents(docs: DataFrame, model: str, end_id: int, id_col: str, text
     """(doc_id, row, ids) in ascending order of id. model: a byte-level BPE file of the tokenizers library."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known, special = pieces.byte_level_encoder(model)
+        encode, special = pieces.byte_level_encoder(model)
         row = 0
         for batch in batches:
             data, offsets = buffers(batch.column("data"))
@@ -44,7 +44,7 @@ def encode_documents(docs: DataFrame, model: str, end_id: int, id_col: str, text
                     owner = np.searchsorted(ends, at, side="right")
                     at = at[~whole[owner] | (at == begin[owner])]
                     drop = np.zeros(len(at), bool)
-                number, bounds, ids = pieces.encode_pieces(part, at, drop, encode, known)
+                number, bounds, ids = pieces.encode_pieces(part, at, drop, encode)
                 ids, counts = pieces.gather(number, bounds, ids)
                 tokens = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(at, ends)]
                 all_ids = np.insert(ids, tokens, end_id).astype(np.int32)
