@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from loomline.llm.gif import op8_media_gif
 from loomline.llm.minhash import op6_minhash_near_dedup
+from loomline.llm.mixing import op4_mixing
 from loomline.llm.substring import op3_substring_dedup
 from loomline.llm.suffixes import op10_suffix_array_dedup
 from loomline.llm.token_counts import op5_token_counts
@@ -10,8 +12,10 @@ from loomline.llm.token_files import op9_token_ids
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_media_gif": op8_media_gif,
     "op9_token_ids": op9_token_ids,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
