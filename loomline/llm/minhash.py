@@ -255,8 +255,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     families = families.unionByName(roots)
     sizes = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     placed = families.join(sizes, "root").select("v", F.col("root").alias("family"), "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"))
-    # rows of one id are one node, each with its own set
-    texts = written(placed.join(base.select(F.col("doc").alias("v"), "data"), "v").withColumn("asked", F.lit(None).cast("boolean")), "members")
+    # rows of one id are one node, each with its own set; the families grow with the corpus, so they are never broadcast
+    texts = written(placed.join(base.select(F.col("doc").alias("v"), "data").hint("merge"), "v").withColumn("asked", F.lit(None).cast("boolean")), "members")
     wide = texts.filter("blocks > 1")
     pilots = wide.filter("v = family").select("v", "family", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), "block", "data", "asked").filter("at <> block").drop("block").withColumnRenamed("at", "block")
     links = written(exact_links(texts.unionByName(pilots), size, percent), "links")
