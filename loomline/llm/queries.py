@@ -5,12 +5,14 @@ from __future__ import annotations
 from loomline.llm.gif import op8_media_gif
 from loomline.llm.minhash import op6_minhash_near_dedup
 from loomline.llm.mixing import op4_mixing
+from loomline.llm.quality import op1_quality_classifier
 from loomline.llm.substring import op3_substring_dedup
 from loomline.llm.suffixes import op10_suffix_array_dedup
 from loomline.llm.token_counts import op5_token_counts
 from loomline.llm.token_files import op9_token_ids
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
