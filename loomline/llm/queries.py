@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomline.llm.decontaminate import op2_decontamination
 from loomline.llm.gif import op8_media_gif
 from loomline.llm.minhash import op6_minhash_near_dedup
 from loomline.llm.mixing import op4_mixing
@@ -13,6 +14,7 @@ from loomline.llm.token_files import op9_token_ids
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
