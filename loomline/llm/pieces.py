@@ -2,8 +2,8 @@
 
 SentencePiece (a BPE model whose pieces hold the space mark at their start only): a text
 splits before every space that follows another character. Byte-level BPE: a text splits before
-a single space between two characters that aren't white space, where its pattern starts a new
-word in any case. ``check_sentencepiece`` and ``check_byte_level`` refuse models for which this
+a single space between two characters that aren't white space, and between an ASCII letter or
+digit and an ASCII mark but the apostrophe, where its pattern ends a word in any case. ``check_sentencepiece`` and ``check_byte_level`` refuse models for which this
 does not hold. Texts with Unicode white space or special strings go to the library whole.
 
 Distinct byte-level pieces are encoded as one text, since their joints are such positions
@@ -24,6 +24,8 @@ from loomline.llm.common import buffers
 #: White space beyond ASCII as UTF-8: U+0085, A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _CACHE: dict[str, tuple] = {}
+#: Distinct pieces a Python worker remembers, by model; beyond that it starts anew.
+REMEMBERED = 1_200_000
 #: Bytes of joined pieces that the library gets at once.
 JOINED = 1 << 20
 
@@ -43,8 +45,35 @@ def check_byte_level(spec: dict) -> None:
         raise ValueError("not a byte-level BPE without prefix space")
 
 
-def sentencepiece_encoder(path: str) -> Callable:
-    """Encodes distinct pieces: (bounds, ids), as all encoders here do for the bytes of pieces and their offsets."""
+class Known:
+    """Ids of the pieces seen so far. encode: (bytes of distinct pieces end to end, their offsets) -> (bounds, ids)."""
+
+    def __init__(self, encode: Callable):
+        self.encode = encode
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The number of each of these distinct pieces; bounds and ids hold its ids."""
+        if len(self.number) > REMEMBERED:
+            self.clear()
+        words = pieces.to_pylist()
+        found = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            raw, offsets = buffers(pieces.take(pa.array(new)))
+            bounds, ids = self.encode(raw.tobytes(), offsets)
+            found[new] = np.arange(len(self.number), len(self.number) + len(new))
+            self.number.update(zip((words[k] for k in new.tolist()), found[new].tolist(), strict=True))
+            self.bounds = np.concatenate((self.bounds, bounds[1:] + self.bounds[-1]))
+            self.ids = np.concatenate((self.ids, ids))
+        return found
+
+
+def sentencepiece_encoder(path: str) -> Known:
     if path not in _CACHE:
         import sentencepiece
 
@@ -56,7 +85,7 @@ def sentencepiece_encoder(path: str) -> Callable:
             texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             return flat([ids or alone for ids in model.encode(texts, num_threads=1)])
 
-        _CACHE[path] = (encode,)
+        _CACHE[path] = (Known(encode),)
     return _CACHE[path][0]
 
 
@@ -65,8 +94,8 @@ def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return bounds, np.fromiter((x for ids in lists for x in ids), np.int32, int(bounds[-1]))
 
 
-def byte_level_encoder(path: str) -> tuple[Callable, tuple[bytes, ...]]:
-    """(encoder, special strings)."""
+def byte_level_encoder(path: str) -> tuple[Known, tuple[bytes, ...]]:
+    """(known pieces, special strings)."""
     if path not in _CACHE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
@@ -115,7 +144,7 @@ def byte_level_encoder(path: str) -> tuple[Callable, tuple[bytes, ...]]:
             out[~joined] = [i for x in some for i in x.ids]
             return bounds, out
 
-        _CACHE[path] = encode, special
+        _CACHE[path] = Known(encode), special
     return _CACHE[path]
 
 
@@ -140,32 +169,34 @@ def byte_level_cuts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     first = np.concatenate(([0], ends))
     if len(data) > 2:
         start[1:-2] = (data[1:-1] == 32) & ~white[:-2] & ~white[2:]
+    lower = data | 32
+    word = ((lower >= 97) & (lower <= 122)) | ((data >= 48) & (data <= 57))
+    mark = (data > 32) & (data < 127) & ~word & (data != 39)
+    start[1:-1] |= (word[:-1] & mark[1:]) | (mark[:-1] & word[1:])
     start[first] = False
-    last = ends - 1
-    start[last[last >= 0]] = False  # a document's last byte
+    space = ends[np.diff(first) > 0] - 1
+    start[space[data[space] == 32]] = False  # a document's last byte
     start[first[:-1][np.diff(first) > 0]] = True
     at = np.flatnonzero(start[:-1])
     return at, np.zeros(len(at), bool)
 
 
-def encode_pieces(data: np.ndarray, at: np.ndarray, drop: np.ndarray, encode: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of each distinct piece: (piece -> number, offsets of numbers, all their ids). drop: leave out the first byte."""
+def encode_pieces(data: np.ndarray, at: np.ndarray, drop: np.ndarray, known: Known) -> np.ndarray:
+    """The known number of each piece. drop: leave out the piece's first byte."""
     if not len(at):
-        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64)
     keep = np.ones(len(data), bool)
     keep[at[drop]] = False
     offsets = (np.append(at, len(data)) - np.concatenate(([0], np.cumsum(drop)))).astype(np.int32)
     raw = np.ascontiguousarray(data[keep])
     pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
     coded = pieces.dictionary_encode()
-    distinct, where = buffers(coded.dictionary)
-    bounds, ids = encode(distinct.tobytes(), where)
-    return coded.indices.to_numpy(), bounds, ids
+    return known.numbers(coded.dictionary)[coded.indices.to_numpy()]
 
 
 def gather(numbers: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the pieces in their order, and how many each piece has."""
-    counts = np.diff(offsets)[numbers]
-    begin = offsets[:-1][numbers]
+    begin = offsets[numbers]
+    counts = offsets[numbers + 1] - begin
     where = np.arange(int(counts.sum())) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
     return ids[where], counts

@@ -32,14 +32,14 @@ def count_prefixes(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
     configure(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = pieces.sentencepiece_encoder(model)
+        known = pieces.sentencepiece_encoder(model)
         for batch in batches:
             data, offsets = buffers(batch.column("data"))
             for i, j in slices(offsets, CHUNK):
                 part, ends = data[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i]
                 at, drop = pieces.sentencepiece_cuts(part, ends)
-                number, bounds, _ = pieces.encode_pieces(part, at, drop, encode)
-                counts = np.diff(bounds)[number] if len(number) else np.zeros(0, np.int64)
+                number = pieces.encode_pieces(part, at, drop, known)
+                counts = known.bounds[number + 1] - known.bounds[number]
                 upto = np.searchsorted(at, ends)
                 total = np.concatenate(([0], np.cumsum(counts)))
                 begin = np.concatenate(([0], upto[:-1]))
@@ -72,7 +72,7 @@ def fitting_bytes(budget: int) -> Column:
 
 def prefix_count(text: bytes, prefix_bytes: list[int], prefix_tokens: list[int], end: int, model: str) -> int:
     """Exact tokens of text[:end], encoding the cut piece only."""
-    encode = pieces.sentencepiece_encoder(model)
+    encode = pieces.sentencepiece_encoder(model).encode
     k = bisect_right(prefix_bytes, end)
     done, start = (prefix_tokens[k - 1], prefix_bytes[k - 1]) if k else (0, 0)
     rest = text[start:end]

@@ -31,7 +31,7 @@ def encode_documents(docs: DataFrame, model: str, end_id: int, id_col: str, text
     """(doc_id, row, ids) in ascending order of id. model: a byte-level BPE file of the tokenizers library."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, special = pieces.byte_level_encoder(model)
+        known, special = pieces.byte_level_encoder(model)
         row = 0
         for batch in batches:
             data, offsets = buffers(batch.column("data"))
@@ -44,8 +44,8 @@ def encode_documents(docs: DataFrame, model: str, end_id: int, id_col: str, text
                     owner = np.searchsorted(ends, at, side="right")
                     at = at[~whole[owner] | (at == begin[owner])]
                     drop = np.zeros(len(at), bool)
-                number, bounds, ids = pieces.encode_pieces(part, at, drop, encode)
-                ids, counts = pieces.gather(number, bounds, ids)
+                number = pieces.encode_pieces(part, at, drop, known)
+                ids, counts = pieces.gather(number, known.bounds, known.ids)
                 tokens = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(at, ends)]
                 all_ids = np.insert(ids, tokens, end_id).astype(np.int32)
                 lists = np.concatenate(([0], tokens + np.arange(1, j - i + 1))).astype(np.int32)
