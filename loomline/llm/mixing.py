@@ -52,7 +52,8 @@ def source_targets(rows: DataFrame, weights: tuple[float, ...], percent: float,
     by_ratio = Window.orderBy(F.col("stop") / F.col("weight"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.sum("source_size").over(all_) * (percent / 100)
     s = s.withColumn("level", (wanted - F.coalesce(F.sum("stop").over(by_ratio), F.lit(0.0))) / (F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(by_ratio), F.lit(0.0))))
-    s = s.withColumn("level", F.min(F.when(F.col("stop") > F.col("level") * F.col("weight"), F.col("level"))).over(all_))
+    # from the first source that isn't full the levels fall, so it has the highest of those
+    s = s.withColumn("level", F.max(F.when(F.col("stop") > F.col("level") * F.col("weight"), F.col("level"))).over(all_))
     return s.select("source", "n", "source_size", F.coalesce(F.least("stop", F.col("level") * F.col("weight")), F.col("stop")).alias("target"))
 
 

@@ -65,3 +65,13 @@ def test_mixture(spark):
 def test_targets_without_words(spark):
     rows = spark.createDataFrame([("a", 0), ("b", 0)], "source string, size long")
     assert [x.target for x in source_targets(rows, (5, 2, 1), 150, 2).collect()] == [0.0, 0.0]
+
+
+def test_targets(spark):
+    r = random.Random(4)
+    for n in (1, 2, 3, 20, 50):
+        sizes = [round(10 ** r.uniform(0, 5)) for _ in range(n)]
+        rows = spark.createDataFrame([(f"s{i:03}", x) for i, x in enumerate(sizes)], "source string, size long")
+        got = {x.source: x.target for x in source_targets(rows, (5, 2, 1), 150, 2).collect()}
+        assert np.allclose([got[f"s{i:03}"] for i in range(n)], brute_targets(sizes))
+        assert abs(sum(got.values()) / (1.5 * sum(sizes)) - 1) < 1e-9
