@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from loomline.llm.decontaminate import op2_decontamination
 from loomline.llm.gif import op8_media_gif
+from loomline.llm.lines import op7_line_dedup
 from loomline.llm.minhash import op6_minhash_near_dedup
 from loomline.llm.mixing import op4_mixing
 from loomline.llm.quality import op1_quality_classifier
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_media_gif": op8_media_gif,
     "op9_token_ids": op9_token_ids,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
