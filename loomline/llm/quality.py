@@ -36,7 +36,10 @@ FIT_ROWS, STEMS, RATIO = 6000, 2000, 20.0
 SITE_LIMIT, KEEP = 2.0, 0.5
 #: Paths up to this many are broadcast; beyond, they are joined by a shuffle.
 FEW = 100_000
-CHUNK = 8 << 20
+CHUNK = 1 << 20
+#: Words whose features a Python worker remembers; beyond that it starts anew.
+REMEMBERED = 300_000
+_SEEN: dict[frozenset, dict[bytes, tuple[float, ...]]] = {}
 FEATURES = ("bias", "shout", "marks", "bangs", "lone", "again", "letters", "hits", "hit")
 _STRIP = ".,;:?!\"'()[]"
 
@@ -48,13 +51,14 @@ def stems_of(word: str) -> list[str]:
 
 def word_features(word: str, bad: frozenset[str]) -> tuple[float, ...]:
     end = word.rstrip(".,;:")[-2:]
+    n = len(word)
     return (
-        float(len(word) > 1 and word.isupper()),
-        float(len(word) > 3 and not any(c.isalnum() for c in word[-3:])),
+        float(n > 1 and word.isupper()),
+        float(n > 3 and not (word[-1].isalnum() or word[-2].isalnum() or word[-3].isalnum())),
         float(end in ("!!", "??")),
-        float(len(word) == 1 and not word.isalnum()),
-        float(sum(map(str.isalpha, word))),
-        float(len(word)),
+        float(n == 1 and not word.isalnum()),
+        float(n if word.isalpha() else sum(map(str.isalpha, word))),
+        float(n),
         float(bool(bad) and not bad.isdisjoint(stems_of(word))),
     )
 
@@ -70,7 +74,14 @@ def features(data: np.ndarray, ends: np.ndarray, bad: frozenset[str]) -> np.ndar
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[solid]))]).dictionary_encode()
     number = coded.indices.to_numpy()
-    each = np.array([word_features(w, bad) for w in coded.dictionary.cast(pa.string()).to_pylist()])
+    if bad not in _SEEN or len(_SEEN[bad]) > REMEMBERED:
+        _SEEN.clear()
+    seen = _SEEN.setdefault(bad, {})
+    words = coded.dictionary.to_pylist()
+    for w in words:
+        if w not in seen:
+            seen[w] = word_features(w.decode(), bad)
+    each = np.array([seen[w] for w in words])
     again = np.concatenate(([False], number[1:] == number[:-1]))
     begin = np.concatenate(([0], upto[:-1]))
     again[begin[begin < len(number)]] = False
@@ -172,31 +183,36 @@ def site_shares(scored: DataFrame) -> DataFrame:
     return both.select("host", "path", ((F.col("good") + k * F.col("host_share")) / (F.col("n") + k)).alias("share"))
 
 
-def _judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, str]]:
-    """docs under safe names with _evidence, _share, _posterior; no shuffle of texts. Names: original -> safe."""
+def _judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str, text_col: str, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The columns ``keep`` of docs under safe names with _evidence, _share, _posterior. Names: original -> safe.
+
+    Evidence is computed once and written; texts aren't shuffled.
+    """
     configure(docs.sparkSession)
     weights, bad = fit(docs, labels, id_col, text_col)
     at = {x: f"c{i}" for i, x in enumerate(docs.columns)}
     safe = docs.select(*[F.col(f"`{x}`").alias(y) for x, y in at.items()], host.cast("string").alias("_host"), path.cast("string").alias("_path"))
     scored = safe.withColumn("_evidence", evidence(_text(at[text_col]), weights, bad))
+    scored = written(scored.select(*[at[x] for x in keep], "_host", "_path", "_evidence"), "evidence")
     shares = written(site_shares(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), (1 / (1 + F.exp(-F.col("_evidence")))).alias("p"))), "shares")
     few = shares.count() <= FEW
     joined = scored.join(F.broadcast(shares) if few else shares, scored["_host"].eqNullSafe(shares["host"]) & scored["_path"].eqNullSafe(shares["path"]))
     # without labels of both kinds there is nothing to judge by
     odds = F.log(F.col("share") / (1 - F.col("share"))) if any(weights) else F.lit(SITE_LIMIT)
+    at = {x: at[x] for x in keep}
     site = F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), odds))
     return joined.withColumn("_share", F.col("share")).withColumn("_posterior", 1 / (1 + F.exp(-(F.col("_evidence") + site)))), at
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, evidence, site_share, posterior, kept)."""
-    judged, at = _judged(docs, labels, host, path, id_col, text_col)
+    judged, at = _judged(docs, labels, host, path, id_col, text_col, [id_col])
     return judged.select(F.col(at[id_col]).alias(id_col), F.col("_evidence").alias("evidence"), F.col("_share").alias("site_share"), F.col("_posterior").alias("posterior"), (F.col("_posterior") >= KEEP).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    judged, at = _judged(docs, labels, host, path, id_col, text_col)
+    judged, at = _judged(docs, labels, host, path, id_col, text_col, docs.columns)
     return judged.filter(F.col("_posterior") >= KEEP).select(*[F.col(y).alias(x) for x, y in at.items()])
 
 

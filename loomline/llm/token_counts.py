@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomline.llm import pieces
 from loomline.llm.common import buffers, configure, load, slices, table
 
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 OUT = "doc_id long, n_bytes long, prefix_bytes array<int>, prefix_tokens array<int>"
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from loomline.llm import pieces
 from loomline.llm.common import buffers, configure, load, scratch, slices, table, written
 
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 STORED = "doc_id long, row long, ids array<int>"
 END_ID = 2
 
