@@ -22,7 +22,7 @@ def configure(spark: SparkSession) -> None:
     for key, value in {
         # A finished write needs its shuffle files no more; else they pile up until the driver's garbage goes.
         "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
         "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
     }.items():
         spark.conf.set(key, value)
@@ -67,7 +67,12 @@ def restored(col: str = "doc", name: str = "doc_id"):
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a binary column end to end, and the offsets (one more than rows)."""
+    """The bytes of a binary column end to end, and the offsets (one more than rows).
+
+    Also has Arrow return freed batches to the system: other pools keep them, beside the JVM's heap.
+    """
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     kind = np.int64 if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else np.int32

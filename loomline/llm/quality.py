@@ -38,8 +38,8 @@ SITE_LIMIT, KEEP = 2.0, 0.5
 FEW = 100_000
 CHUNK = 1 << 20
 #: Words whose features a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
-_SEEN: dict[frozenset, dict[bytes, tuple[float, ...]]] = {}
+REMEMBERED = 150_000
+_SEEN: dict[frozenset, tuple[dict[bytes, int], np.ndarray]] = {}
 FEATURES = ("bias", "shout", "marks", "bangs", "lone", "again", "letters", "hits", "hit")
 _STRIP = ".,;:?!\"'()[]"
 
@@ -63,6 +63,20 @@ def word_features(word: str, bad: frozenset[str]) -> tuple[float, ...]:
     )
 
 
+def known_features(words: list[bytes], bad: frozenset[str]) -> np.ndarray:
+    """word_features of distinct words; a worker keeps those of one set of bad stems."""
+    if bad not in _SEEN or len(_SEEN[bad][0]) > REMEMBERED:
+        _SEEN.clear()
+        _SEEN[bad] = {}, np.zeros((0, 7), np.float32)
+    number, rows = _SEEN[bad]
+    fresh = [w for w in words if w not in number]
+    if fresh:
+        number.update(zip(fresh, range(len(rows), len(rows) + len(fresh)), strict=True))
+        rows = np.concatenate((rows, np.array([word_features(w.decode(), bad) for w in fresh], np.float32)))
+        _SEEN[bad] = number, rows
+    return rows[np.fromiter((number[w] for w in words), np.int64, len(words))]
+
+
 def features(data: np.ndarray, ends: np.ndarray, bad: frozenset[str]) -> np.ndarray:
     """One row of FEATURES for each document; each distinct word is looked at once."""
     starts, stops, upto = word_spans(data, ends)
@@ -74,18 +88,11 @@ def features(data: np.ndarray, ends: np.ndarray, bad: frozenset[str]) -> np.ndar
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[solid]))]).dictionary_encode()
     number = coded.indices.to_numpy()
-    if bad not in _SEEN or len(_SEEN[bad]) > REMEMBERED:
-        _SEEN.clear()
-    seen = _SEEN.setdefault(bad, {})
-    words = coded.dictionary.to_pylist()
-    for w in words:
-        if w not in seen:
-            seen[w] = word_features(w.decode(), bad)
-    each = np.array([seen[w] for w in words])
+    each = known_features(coded.dictionary.to_pylist(), bad)
     again = np.concatenate(([False], number[1:] == number[:-1]))
     begin = np.concatenate(([0], upto[:-1]))
     again[begin[begin < len(number)]] = False
-    totals = np.concatenate((np.zeros((1, 8)), np.cumsum(np.column_stack((each[number], again)), axis=0)))
+    totals = np.concatenate((np.zeros((1, 8)), np.cumsum(np.column_stack((each[number], again)), axis=0, dtype=np.float64)))
     shout, marks, bangs, lone, letters, chars, hits, same = (totals[upto] - totals[begin]).T
     n = np.maximum(1, upto - begin)
     for k, x in enumerate((shout / n, marks / n, bangs / n, lone / n, same / n, 1 - letters / np.maximum(1, chars), np.log1p(hits), hits > 0)):
