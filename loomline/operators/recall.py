@@ -6,8 +6,10 @@ before ranking so that mathematically equal scores tie, and ties go to the small
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,16 +180,64 @@ def content_vectors(articles: DataFrame, fields: tuple[str, ...] = CONTENT_FIELD
     return counts.join(df, "token").join(F.broadcast(n)).select("item_id", "token", (F.col("c") / F.col("total") * idf).alias("w"))
 
 
-def recall_content(users: DataFrame, history: DataFrame, vectors: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """Cosine of the mean vector of a user's seeds with unseen items; popularity for users without vectors."""
-    mine = seeds(history).join(vectors, "item_id")
-    used = seeds(history).join(vectors.select("item_id").distinct(), "item_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("used"))
-    profile = mine.groupBy("user_id", "token").agg(F.sum("w").alias("w")).join(used, "user_id").withColumn("w", F.col("w") / F.col("used"))
+#: Vector entries up to this many (16 bytes each) go to every executor; beyond, profiles meet postings in a shuffle.
+FEW_ENTRIES = 2_000_000
+
+
+def _cosines(profile: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(user_id, item_id, score) of all pairs that share a token, by a join on tokens."""
     length = lambda df, key: df.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"{key}_len"))
     dot = profile.select("user_id", "token", F.col("w").alias("pw")).join(vectors, "token").groupBy("user_id", "item_id").agg(F.sum(F.col("pw") * F.col("w")).alias("dot"))
     scored = dot.join(length(profile, "user_id"), "user_id").join(length(vectors, "item_id"), "item_id")
-    scored = scored.select("user_id", "item_id", F.round(F.col("dot") / (F.col("user_id_len") * F.col("item_id_len")), DIGITS).alias("score")).filter("score > 0")
-    ranked = top(unseen(scored, history), ["user_id"], k)
+    return scored.select("user_id", "item_id", F.round(F.col("dot") / (F.col("user_id_len") * F.col("item_id_len")), DIGITS).alias("score"))
+
+
+def _best_cosines(profile: DataFrame, vectors: DataFrame, history: DataFrame, k: int) -> DataFrame:
+    """The k best unseen items of each user from postings held on every executor; a user's scores are one array."""
+    rows = vectors.toPandas()
+    items, item = np.unique(rows["item_id"].to_numpy(str), return_inverse=True)
+    tokens, token = np.unique(rows["token"].to_numpy(str), return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    w = rows["w"].to_numpy(float)
+    norm = np.sqrt(np.bincount(item, w * w, len(items)))
+    shared = vectors.sparkSession.sparkContext.broadcast((items, norm, {t: i for i, t in enumerate(tokens.tolist())}, np.searchsorted(token[order], np.arange(len(tokens) + 1)), item[order], w[order]))
+    users = profile.groupBy("user_id").agg(F.collect_list(F.struct("token", "w")).alias("p")).join(history, "user_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items, norm, number, bounds, posted, weights = shared.value
+        place = {i: n for n, i in enumerate(items.tolist())}
+        for batch in batches:
+            out = []
+            for user, p, seen in zip(batch["user_id"], batch["p"], batch["items"], strict=True):
+                dot = np.zeros(len(items))
+                for x in p:
+                    a, b = bounds[number[x["token"]]], bounds[number[x["token"]] + 1]
+                    dot[posted[a:b]] += x["w"] * weights[a:b]
+                score = dot / (norm * np.sqrt(sum(x["w"] ** 2 for x in p)))
+                score[[place[i] for i in seen if i in place]] = 0.0
+                # everything that may round to the k-th best score stays for the exact ranking
+                least = np.partition(score, -k)[-k] - 10.0**-DIGITS if len(score) > k else 0.0
+                best = np.flatnonzero((score > 0) & (score >= least))
+                out.append(pd.DataFrame({"user_id": user, "item_id": items[best], "score": score[best]}))
+            if out:
+                yield pd.concat(out)
+
+    scored = users.select("user_id", "p", "items").mapInPandas(run, "user_id string, item_id string, score double")
+    return scored.withColumn("score", F.round("score", DIGITS))
+
+
+def recall_content(users: DataFrame, history: DataFrame, vectors: DataFrame, lists: DataFrame, k: int, few: int = FEW_ENTRIES) -> DataFrame:
+    """Cosine of the mean vector of a user's seeds with unseen items; popularity for users without vectors.
+
+    Nearly every user shares some token with nearly every item, so pairs are users x items. A catalogue
+    of checked size is scored in arrays, one user at a time; a larger one is joined.
+    """
+    mine = seeds(history).join(vectors, "item_id")
+    used = seeds(history).join(vectors.select("item_id").distinct(), "item_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("used"))
+    profile = mine.groupBy("user_id", "token").agg(F.sum("w").alias("w")).join(used, "user_id").withColumn("w", F.col("w") / F.col("used"))
+    small = vectors.count() <= few
+    scored = (_best_cosines(profile, vectors, history, k) if small else unseen(_cosines(profile, vectors), history)).filter("score > 0")
+    ranked = top(scored, ["user_id"], k)
     rest = users.select("user_id").join(used, "user_id", "left_anti").crossJoin(F.broadcast(lists.filter(F.col("rank") <= k)))
     columns = ["user_id", "item_id", "score", "rank"]
     return ranked.select(*columns).unionByName(rest.select(*columns))

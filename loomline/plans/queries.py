@@ -41,8 +41,8 @@ class Plan(retail.Retail):
 
     @cached_property
     def user_history(self) -> DataFrame:
-        """Histories of the target users only, before any per-user join."""
-        return history.last_items(self.past.join(self.target_users, "user_id", "left_semi"), HISTORY)
+        """Histories of the target users only, before any per-user join; most channels begin with them."""
+        return history.last_items(self.past.join(self.target_users, "user_id", "left_semi"), HISTORY).persist()
 
     @cached_property
     def cohorts(self) -> DataFrame:
@@ -55,7 +55,7 @@ class Plan(retail.Retail):
 
     @cached_property
     def popular(self) -> DataFrame:
-        return recall.popular_lists(self.past, PER_CHANNEL)
+        return recall.popular_lists(self.past, PER_CHANNEL).persist()
 
     @cached_property
     def buckets(self) -> DataFrame:
@@ -63,7 +63,7 @@ class Plan(retail.Retail):
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return recall.content_vectors(self.articles)
+        return recall.content_vectors(self.articles).persist()
 
     def channel(self, name: str) -> DataFrame:
         h, k = self.user_history, PER_CHANNEL

@@ -119,7 +119,7 @@ class Retail:
 
     @cached_property
     def targets(self) -> DataFrame:
-        return self.valid.select("user_id", "item_id").distinct()
+        return self.valid.select("user_id", "item_id").distinct().persist()
 
     @cached_property
     def target_users(self) -> DataFrame:
