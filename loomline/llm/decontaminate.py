@@ -47,17 +47,25 @@ def shingles(text: Column, size: int = SHINGLE) -> Column:
 
 
 def lane_sums(h: str) -> list[Column]:
-    """Sums that count each bit of the hashes: 16 sums of 4 lanes with 16 bits."""
-    return [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_LANES))).alias(f"lane{j}") for j in range(16)]
+    """Sums that count each bit of the hashes: 16 sums of 4 lanes with 16 bits.
+
+    Lanes are exact up to 32,767 hashes; beyond, bits are noise, the same for equal sets.
+    """
+    return [F.coalesce(F.try_sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_LANES))), F.lit(0)).alias(f"lane{j}") for j in range(16)]
 
 
 def fingerprint(count: str) -> Column:
-    """Bits set in more than half of ``count`` hashes."""
+    """Bits set in more than half of ``count`` hashes, two lanes at once.
+
+    Adding 32,767 - count / 2 to a lane carries into its top bit if the lane is above half.
+    """
+    half = F.least(F.floor(F.col(count) / 2), F.lit(0x7FFF))
+    above, pair = (F.lit(0x7FFF) - half) * F.lit(0x00010001), F.lit(0x00010001)
     out = F.lit(0).cast("long")
     for j in range(16):
-        for k in range(4):
-            bit = F.shiftrightunsigned(f"lane{j}", 16 * k).bitwiseAND(0xFFFF) * 2 > F.col(count)
-            out = out.bitwiseOR(F.when(bit, F.shiftleft(F.lit(1).cast("long"), j + 16 * k)).otherwise(F.lit(0).cast("long")))
+        low = F.shiftright(F.col(f"lane{j}").bitwiseAND(F.lit(0xFFFFFFFF)) + above, 15).bitwiseAND(pair)
+        high = F.shiftright(F.shiftrightunsigned(f"lane{j}", 32) + above, 15).bitwiseAND(pair)
+        out = out.bitwiseOR(F.shiftleft(low.bitwiseOR(F.shiftleft(high, 32)), j))
     return out
 
 
