@@ -95,18 +95,20 @@ def user_features(rich: DataFrame, specs: DataFrame, windows: tuple[int, ...] =
     """
     past = rich.join(F.broadcast(specs.select("as_of_date")), F.col("date") <= F.col("as_of_date")).withColumn("age", F.date_diff("as_of_date", "date"))
     q, spent = F.col("quantity"), F.col("mean_price") * F.col("quantity")
-    sums: list[Column] = [F.min("age").alias("recency_days"), F.min("date").alias("d0"), F.max("date").alias("d1"), F.count_distinct("date").alias("days")]
+    # sets of one user's days and styles; several count_distinct would multiply the rows instead
+    distinct = lambda c: F.size(F.collect_set(c)).cast("long")
+    sums: list[Column] = [F.min("age").alias("recency_days"), F.min("date").alias("d0"), F.max("date").alias("d1"), distinct(F.col("date")).alias("days")]
     for n in windows:
         inside = F.col("age") < n
         when = lambda c, inside=inside: F.coalesce(F.sum(F.when(inside, c)), F.lit(0))
         sums += [
             when(q).alias(f"q_{n}"),
-            F.count_distinct(F.when(inside, F.col("date"))).alias(f"active_{n}"),
+            distinct(F.when(inside, F.col("date"))).alias(f"active_{n}"),
             F.coalesce(F.sum(F.when(inside, spent)), F.lit(0.0)).alias(f"spent_{n}"),
             when(F.when(F.col("mean_price").isNotNull(), q)).alias(f"priced_{n}"),
             when(F.when(F.col("sales_channel_mode") == 1, q)).alias(f"ch1_{n}"),
             when(F.when(F.col("sales_channel_mode") == 2, q)).alias(f"ch2_{n}"),
-            F.count_distinct(F.when(inside & (F.col("style") != ""), F.col("style"))).alias(f"styles_{n}"),
+            distinct(F.when(inside & (F.col("style") != ""), F.col("style"))).alias(f"styles_{n}"),
             when(F.when(F.col("is_repeat"), q)).alias(f"repeat_{n}"),
             when(F.when(F.col("is_style_repeat"), q)).alias(f"style_{n}"),
         ]

@@ -58,7 +58,8 @@ def user_day_item_events(tx: DataFrame) -> DataFrame:
 
 
 def daily_baskets(events: DataFrame) -> DataFrame:
-    return events.groupBy("user_id", "date").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.count_distinct("item_id").alias("n_items"), F.sum("quantity").alias("quantity_sum"))
+    baskets = events.groupBy("user_id", "date").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.sum("quantity").alias("quantity_sum"))
+    return baskets.withColumn("n_items", F.size("items").cast("long"))
 
 
 def split_label(df: DataFrame, b: SplitBounds) -> DataFrame:
@@ -105,13 +106,18 @@ def latest(specs: DataFrame, split: str, n: int) -> DataFrame:
     return specs.filter(F.col("split") == split).orderBy(F.desc("as_of_date")).limit(n)
 
 
+def in_label_window(events: DataFrame, specs: DataFrame) -> DataFrame:
+    """Events with each snapshot whose label window has their day: an equi-join on days, of which the few windows have a bounded number."""
+    days = specs.withColumn("date", F.explode(F.sequence("label_start", "label_end")))
+    return events.join(F.broadcast(days), "date")
+
+
 def next_basket_labels(events: DataFrame, specs: DataFrame, styles: DataFrame) -> DataFrame:
     """Purchases of each label window, and whether item and style were bought before.
 
-    First purchases are computed once for all snapshots; specs are a few rows and broadcast.
+    First purchases are computed once for all snapshots.
     """
-    bought = events.join(F.broadcast(specs), F.col("date").between(F.col("label_start"), F.col("label_end")))
-    labels = bought.groupBy("user_id", "item_id", "as_of_date", "split").agg(F.sum("quantity").alias("label_quantity"))
+    labels = in_label_window(events, specs).groupBy("user_id", "item_id", "as_of_date", "split").agg(F.sum("quantity").alias("label_quantity"))
     first = events.groupBy("user_id", "item_id").agg(F.min("date").alias("first_item"))
     code = styles.select("item_id", F.coalesce(F.trim("product_code"), F.lit("")).alias("code"))
     first_style = first.join(code, "item_id").filter("code <> ''").groupBy("user_id", "code").agg(F.min("first_item").alias("first_style"))
@@ -124,9 +130,9 @@ def next_basket_labels(events: DataFrame, specs: DataFrame, styles: DataFrame) -
 def snapshot_index(events: DataFrame, specs: DataFrame) -> DataFrame:
     """Users with a label in each snapshot: distinct label items, distinct history items, cold flag."""
     first = events.groupBy("user_id", "item_id").agg(F.min("date").alias("first"))
-    active = events.join(F.broadcast(specs), F.col("date").between(F.col("label_start"), F.col("label_end")))
-    users = active.groupBy("user_id", "as_of_date", "split", "label_start", "label_end").agg(F.count_distinct("item_id").alias("n_label_items"))
-    past = first.join(F.broadcast(specs.select("as_of_date")), F.col("first") <= F.col("as_of_date")).groupBy("user_id", "as_of_date").agg(F.count(F.lit(1)).alias("n_history_items"))
+    users = in_label_window(events, specs).groupBy("user_id", "as_of_date", "split", "label_start", "label_end").agg(F.count_distinct("item_id").alias("n_label_items"))
+    # only users with a label meet their own first purchases
+    past = users.select("user_id", "as_of_date").join(first, "user_id").filter(F.col("first") <= F.col("as_of_date")).groupBy("user_id", "as_of_date").agg(F.count(F.lit(1)).alias("n_history_items"))
     n = F.coalesce("n_history_items", F.lit(0).cast("long"))
     return users.join(past, ["user_id", "as_of_date"], "left").withColumn("n_history_items", n).withColumn("is_cold_start", F.col("n_history_items") == 0)
 
