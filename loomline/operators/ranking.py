@@ -84,7 +84,7 @@ def fuse(candidates: DataFrame, user_tiers: DataFrame, weights: DataFrame, k: in
     joined = rows.join(user_tiers.select("user_id", "tier"), "user_id").join(F.broadcast(weights), ["tier", "channel"]).filter("weight > 0")
     scored = joined.groupBy("user_id", "item_id").agg(F.round(F.sum(F.col("weight") / F.col("rank")), DIGITS).alias("score"))
     w = Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def user_metrics(targets: DataFrame, predictions: DataFrame, k: int, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
@@ -211,7 +211,7 @@ def encoded(rows: DataFrame, fitted_on: DataFrame, columns: list[str]) -> DataFr
 
 
 def rank_in_group(rows: DataFrame, group: str, score: str) -> DataFrame:
-    return rows.withColumn("pred_rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), "item_id")))
+    return rows.withColumn("pred_rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), "item_id")).cast("long"))
 
 
 def grid_values(low: float, high: float, step: float) -> list[float]:

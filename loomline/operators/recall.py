@@ -32,7 +32,8 @@ def top(df: DataFrame, by: list[str], k: int | None, score: str = "score") -> Da
     """rank within ``by`` by score, ties by item; at most k."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), "item_id")
     ranked = df.withColumn("rank", F.row_number().over(w))
-    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+    ranked = ranked if k is None else ranked.filter(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 
 def window_popularity(inter: DataFrame, by: list[str] = [], weeks: tuple = WINDOW_WEEKS, weights: tuple = WINDOW_WEIGHTS) -> DataFrame:  # noqa: B006

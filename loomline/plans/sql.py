@@ -160,7 +160,7 @@ CTE: dict[str, str] = {
 def metrics(source: str, keys: str = "user_id", k: int = 12, base: str = "nact") -> str:
     """(keys, n_actual, ap, recall, ndcg, hit) of a sub-query with (keys, item_id, rank) whose items are distinct."""
     return f"""SELECT {', '.join('n.' + x for x in keys.split(', '))}, n_actual, coalesce(p / least(n_actual, {k}), 0.0) AS ap, coalesce(h / n_actual, 0.0) AS recall,
-  coalesce(g / list_sum(list_transform(range(1, CAST(least(n_actual, {k}) AS BIGINT) + 1), lambda i: 1 / log2(i + 1.0))), 0.0) AS ndcg, CASE WHEN h > 0 THEN 1.0 ELSE 0.0 END AS hit FROM {base} n LEFT JOIN
+  coalesce(g / list_sum(list_transform(range(1, CAST(least(n_actual, {k}) AS BIGINT) + 1), lambda i: 1 / log2(i + 1.0))), 0.0) AS ndcg, CASE WHEN h > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit FROM {base} n LEFT JOIN
   (SELECT {keys}, sum(c / rank) AS p, count(*) AS h, sum(1 / log2(rank + 1.0)) AS g FROM (SELECT s.*, count(*) OVER (PARTITION BY {keys} ORDER BY rank) AS c FROM {source} s JOIN targets USING (user_id, item_id) WHERE rank <= {k}) GROUP BY {keys}) USING ({keys})"""
 
 
