@@ -25,7 +25,7 @@ from loomline.llm.common import buffers
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _CACHE: dict[str, tuple] = {}
 #: Distinct pieces a Python worker remembers, by model; beyond that it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Bytes of joined pieces that the library gets at once.
 JOINED = 1 << 20
 
