@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 
-from loomline.functions import expr
-from loomline.operators import features, ranking, recall
+from loomline.operators import ranking, recall
 
 
 def category(x: str) -> str:
@@ -39,9 +38,8 @@ def popularity(source: str, by: str = "") -> str:
 
 
 def top(source: str, by: str, k: int) -> str:
-    cols = "*" if not by else "*"
     part = f"PARTITION BY {by} " if by else ""
-    return f"SELECT {cols} FROM (SELECT *, row_number() OVER ({part}ORDER BY score DESC, item_id) AS rank FROM ({source})) WHERE rank <= {k}"
+    return f"SELECT * FROM (SELECT *, row_number() OVER ({part}ORDER BY score DESC, item_id) AS rank FROM ({source})) WHERE rank <= {k}"
 
 
 def neighbours(mode: str) -> str:

@@ -2,7 +2,6 @@ import math
 
 import pytest
 from frames import articles, day, tx
-from pyspark.sql import functions as F
 
 from loomline.operators import features, history
 
