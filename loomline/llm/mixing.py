@@ -17,7 +17,6 @@ separately. Extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

@@ -5,7 +5,6 @@ import random
 import struct
 import zlib
 
-import numpy as np
 import pytest
 
 from loomline.llm import gif
