@@ -90,7 +90,7 @@ def enriched(events: DataFrame, articles: DataFrame, bands: tuple[float, float])
 def user_features(rich: DataFrame, specs: DataFrame, windows: tuple[int, ...] = USER_WINDOWS) -> DataFrame:
     """One row a user and snapshot with history: recency, gaps, and 14 measures for each window of days.
 
-    Events meet the few snapshots once; all windows are conditional sums of one pass, and the
+    Events meet the snapshots once; all windows are conditional sums of one pass, and the
     entropies come from sums by attribute value: ln(total) - sum(q ln q) / total.
     """
     past = rich.join(F.broadcast(specs.select("as_of_date")), F.col("date") <= F.col("as_of_date")).withColumn("age", F.date_diff("as_of_date", "date"))

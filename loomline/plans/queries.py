@@ -27,10 +27,6 @@ class Plan(retail.Retail):
     def specs(self) -> DataFrame:
         return history.snapshot_specs(self.spark, self.bounds)
 
-    @cached_property
-    def few_specs(self) -> DataFrame:
-        return self.specs.filter("split <> 'train'").unionByName(history.latest(self.specs, "train", 4))
-
     @cached_property
     def labels(self) -> DataFrame:
         return history.next_basket_labels(self.events, self.specs, self.articles)
@@ -529,19 +525,19 @@ _PIT = "SELECT rich.*, as_of_date, as_of_date - date AS age FROM rich JOIN few O
 
 @query(user_sql(), pit=_PIT)
 def user_features_pit(p: Plan) -> DataFrame:
-    return features.user_features(p.rich, p.few_specs)
+    return features.user_features(p.rich, p.specs)
 
 
 @query(f"SELECT user_id, as_of_date, {', '.join(f'repeat_rate_{n}d, new_item_rate_{n}d, same_style_rate_{n}d' for n in (28, 365))} FROM uf", pit=_PIT, uf=user_sql())
 def repeat_rates(p: Plan) -> DataFrame:
     names = [f"{x}_{n}d" for n in (28, 365) for x in ("repeat_rate", "new_item_rate", "same_style_rate")]
-    return features.user_features(p.rich, p.few_specs, (28, 365)).select("user_id", "as_of_date", *names)
+    return features.user_features(p.rich, p.specs, (28, 365)).select("user_id", "as_of_date", *names)
 
 
 @query(f"SELECT user_id, as_of_date, {', '.join(f'{a}_entropy_{n}d' for a in ('department', 'colour', 'price_band') for n in (84, 365))} FROM uf", pit=_PIT, uf=user_sql())
 def entropy_features(p: Plan) -> DataFrame:
     names = [f"{a}_entropy_{n}d" for a in ("department", "colour", "price_band") for n in (84, 365)]
-    return features.user_features(p.rich, p.few_specs, (84, 365)).select("user_id", "as_of_date", *names)
+    return features.user_features(p.rich, p.specs, (84, 365)).select("user_id", "as_of_date", *names)
 
 
 def cross_sql() -> str:
