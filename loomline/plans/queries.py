@@ -114,7 +114,7 @@ class Plan(retail.Retail):
     def ranking_dataset(self) -> DataFrame:
         labelled = ranking.with_labels(self.ranking_rows, self.targets, ["user_id", "item_id"])
         items = features.item_features(self.articles).select("item_id", "n_style_variants", "department_name_token")
-        users = features.customer_features(self.customers).filter("user_id % 7 <> 0").select("user_id", "age", "age_bucket")
+        users = features.customer_features(self.customers).select("user_id", "age", "age_bucket")
         return ranking.with_features(ranking.with_features(labelled, items, ["item_id"], "item_"), users, ["user_id"], "customer_")
 
     @cached_property

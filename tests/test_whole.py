@@ -24,3 +24,9 @@ def test_all_snapshots(spark, plan, name):
     want = {x.as_of_date for x in plan.specs.collect() if x.as_of_date >= first}
     assert len(want) > 100
     assert {x.as_of_date for x in plans.QUERIES[name](spark, SF).select("as_of_date").distinct().collect()} == want
+
+
+def test_all_customers(spark, plan):
+    rows, known = plan.ranking_dataset, plan.customers.select("user_id").distinct()
+    assert rows.join(known, "user_id").filter("customer_missing <> 0").count() == 0
+    assert rows.filter("user_id % 7 = 0 AND customer_missing = 0").count() > 0
