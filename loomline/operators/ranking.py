@@ -254,16 +254,25 @@ def best_weights(scores: DataFrame) -> DataFrame:
     return scores.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def search_weights(candidates: DataFrame, targets: DataFrame, user_tiers: DataFrame, k: int, step: float = 0.05) -> dict[str, dict[str, float]]:
-    """Best weights by tier: the base grid first, then each auxiliary channel; tiers are independent of one another."""
-    grids = {t: weight_grid(t, step) for t in RANGES}
-    best = {r.tier: (r.map, grids[r.tier][r.grid_id]) for r in best_weights(grid_scores(candidates, targets, user_tiers, grids, k)).collect()}
-    for channel in ("repurchase", "style", "content"):
-        trials = {t: [{**by, channel: v} for v in grid_values(*AUXILIARY[t][channel], step)] for t, (_, by) in best.items()}
-        for r in best_weights(grid_scores(candidates, targets, user_tiers, trials, k)).collect():
-            if r.map > best[r.tier][0] + 1e-9:
-                best[r.tier] = r.map, trials[r.tier][r.grid_id]
-    return {t: by for t, (_, by) in best.items()}
+def search_weights(candidates: DataFrame, targets: DataFrame, user_tiers: DataFrame, k: int, step: float = 0.05, passes: int = 2) -> dict[str, dict[str, float]]:
+    """Best weights by tier, from the default ones: the base grid, then each auxiliary channel, while a pass improves them.
+
+    What isn't tried keeps its weight; a tier without users keeps its defaults. Tiers are independent of one another.
+    """
+    best = {t: dict(WEIGHTS[t]) for t in RANGES}
+    scored = lambda trials: best_weights(grid_scores(candidates, targets, user_tiers, trials, k)).collect()
+    reached = {r.tier: r.map for r in scored({t: [by] for t, by in best.items()})}
+    for _ in range(passes):
+        improved = False
+        for channel in (None, "repurchase", "style", "content"):
+            tried = {t: weight_grid(t, step) if channel is None else [{channel: v} for v in grid_values(*AUXILIARY[t][channel], step)] for t in best}
+            trials = {t: [{**best[t], **x} for x in some] for t, some in tried.items()}
+            for r in scored(trials):
+                if r.map > reached[r.tier] + 1e-9:
+                    reached[r.tier], best[r.tier], improved = r.map, trials[r.tier][r.grid_id], True
+        if not improved:
+            break
+    return best
 
 
 def variant_gate(variants: DataFrame, baseline: str, most: float = 0.05) -> DataFrame:

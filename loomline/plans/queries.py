@@ -639,7 +639,7 @@ _COARSE_SQL = f"SELECT * FROM (VALUES {sql.values((t, i, c, w) for t, grid in _C
     gap="SELECT tier, grid_id, user_id, sum(c / rank) AS p FROM (SELECT gs.*, count(*) OVER (PARTITION BY tier, grid_id, user_id ORDER BY rank) AS c FROM gs JOIN targets USING (user_id, item_id) WHERE rank <= 12) GROUP BY ALL",
 )
 def weight_grid_scores(p: Plan) -> DataFrame:
-    return ranking.grid_scores(p.union, p.targets, p.tiers, _COARSE, FINAL)
+    return ranking.grid_scores(p.union, p.targets, p.tiers, _GRIDS, FINAL)
 
 
 def _variants(p: Plan) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from loomline.operators import ranking
 from loomline.plans import queries as plans
 from loomline.sources import retail
 
@@ -30,3 +31,14 @@ def test_all_customers(spark, plan):
     rows, known = plan.ranking_dataset, plan.customers.select("user_id").distinct()
     assert rows.join(known, "user_id").filter("customer_missing <> 0").count() == 0
     assert rows.filter("user_id % 7 = 0 AND customer_missing = 0").count() > 0
+
+
+def test_whole_grid(spark, plan):
+    got = {x.tier: x.n for x in plans.QUERIES["weight_grid_scores"](spark, SF).groupBy("tier").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got and got == {t: len(ranking.weight_grid(t)) for t in got}
+
+
+def test_search_keeps_defaults_unless_beaten(spark):
+    c = spark.createDataFrame([("u", "1", "valid", "popular", 1.0, 1)], "user_id string, item_id string, split string, channel string, score double, rank int")
+    t = spark.createDataFrame([("u", 0, "cold_start")], "user_id string, history_len int, tier string")
+    assert ranking.search_weights(c, spark.createDataFrame([("u", "2")], "user_id string, item_id string"), t, 12) == ranking.WEIGHTS
