@@ -119,8 +119,7 @@ class Plan(retail.Retail):
 
     @cached_property
     def pairs(self) -> DataFrame:
-        top = self.target_users.crossJoin(F.broadcast(self.popular.filter("rank <= 3").select("item_id")))
-        return self.targets.unionByName(top).distinct().withColumn("as_of_date", F.lit(self.bounds.train_end))
+        return self.labels.select("user_id", "item_id", "as_of_date").distinct()
 
 
 _PLANS: dict[tuple, Plan] = {}

@@ -42,3 +42,11 @@ def test_search_keeps_defaults_unless_beaten(spark):
     c = spark.createDataFrame([("u", "1", "valid", "popular", 1.0, 1)], "user_id string, item_id string, split string, channel string, score double, rank int")
     t = spark.createDataFrame([("u", 0, "cold_start")], "user_id string, history_len int, tier string")
     assert ranking.search_weights(c, spark.createDataFrame([("u", "2")], "user_id string, item_id string"), t, 12) == ranking.WEIGHTS
+
+
+def test_all_label_pairs(spark, plan):
+    key = ["user_id", "item_id", "as_of_date"]
+    want = plan.labels.join(plan.articles, "item_id", "left_semi").select(*key).distinct()
+    got = plans.QUERIES["cross_features"](spark, SF).select(*key)
+    assert got.select("as_of_date").distinct().count() > 50
+    assert got.count() == want.count() and want.join(got, key, "left_anti").count() == 0
