@@ -14,7 +14,7 @@ from loomline.operators import features, history, profile, ranking, recall
 from loomline.plans import sql
 from loomline.sources import retail
 
-PER_CHANNEL, UNION, FINAL, HISTORY = 50, 100, 12, 200
+PER_CHANNEL, UNION, FINAL, HISTORY = 50, 500, 12, 200
 #: Price bands of this table's unit prices.
 BANDS = (1200.0, 1600.0)
 CHANNELS = ("sequence", *recall.CHANNELS)
@@ -428,9 +428,9 @@ _UNION = "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER
 
 @query("SELECT k, scope, count(*) AS n_users, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit FROM s GROUP BY ALL", byscore=_UNION, m100=sql.metrics("byscore", k=100), m300=sql.metrics("byscore", k=300), m="SELECT 100 AS k, * FROM m100 UNION ALL SELECT 300, * FROM m300", s=_SCOPES.format("k", "m"))
 def diag_union_recall(p: Plan) -> DataFrame:
-    best = ranking.union_by_score(p.candidates, 300)
-    m = [ranking.user_metrics(p.targets, best, k).withColumn("k", F.lit(k)) for k in (100, 300)]
-    return ranking.scoped(m[0].unionByName(m[1]), p.strata, ["k"])
+    best = ranking.union_by_score(p.candidates, UNION)
+    m = [ranking.user_metrics(p.targets, best, k).withColumn("k", F.lit(k)) for k in (100, 300, UNION)]
+    return ranking.scoped(m[0].unionByName(m[1]).unionByName(m[2]), p.strata, ["k"])
 
 
 @query("""SELECT a.c AS left, b2.c AS right, round(avg(CASE WHEN len(a.s) + len(b2.s) = 0 THEN 1.0 ELSE len(list_intersect(a.s, b2.s)) / len(list_distinct(list_concat(a.s, b2.s))) END), 6) AS jaccard FROM sets a JOIN sets b2 ON a.user_id = b2.user_id AND a.n < b2.n GROUP BY ALL""", sets="SELECT user_id, c, n, list(item_id) FILTER (item_id IS NOT NULL) AS s0, coalesce(s0, []) AS s FROM (SELECT user_id, c, n FROM users, (SELECT unnest(" + repr(list(CHANNELS)) + ") AS c, unnest(range(7)) AS n)) LEFT JOIN (SELECT user_id, channel AS c, item_id FROM cand) USING (user_id, c) GROUP BY user_id, c, n")

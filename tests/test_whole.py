@@ -50,3 +50,11 @@ def test_all_label_pairs(spark, plan):
     got = plans.QUERIES["cross_features"](spark, SF).select(*key)
     assert got.select("as_of_date").distinct().count() > 50
     assert got.count() == want.count() and want.join(got, key, "left_anti").count() == 0
+
+
+def test_union_drops_no_item(spark, plan):
+    items = ["user_id", "item_id"]
+    want = plan.candidates.select(*items).distinct()
+    assert want.groupBy("user_id").count().agg(F.max("count")).first()[0] > 100
+    assert plans.QUERIES["candidate_union"](spark, SF).select(*items).distinct().count() == want.count()
+    assert {x.k for x in plans.QUERIES["diag_union_recall"](spark, SF).select("k").distinct().collect()} == {100, 300, 500}
