@@ -426,7 +426,7 @@ def diag_channel_recall(p: Plan) -> DataFrame:
 _UNION = "SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, max(score) AS score FROM cand GROUP BY ALL)"
 
 
-@query("SELECT k, scope, count(*) AS n_users, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit FROM s GROUP BY ALL", byscore=_UNION, m100=sql.metrics("byscore", k=100), m300=sql.metrics("byscore", k=300), m="SELECT 100 AS k, * FROM m100 UNION ALL SELECT 300, * FROM m300", s=_SCOPES.format("k", "m"))
+@query("SELECT k, scope, count(*) AS n_users, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit FROM s GROUP BY ALL", byscore=_UNION, m100=sql.metrics("byscore", k=100), m300=sql.metrics("byscore", k=300), m500=sql.metrics("byscore", k=500), m="SELECT 100 AS k, * FROM m100 UNION ALL SELECT 300, * FROM m300 UNION ALL SELECT 500, * FROM m500", s=_SCOPES.format("k", "m"))
 def diag_union_recall(p: Plan) -> DataFrame:
     best = ranking.union_by_score(p.candidates, UNION)
     m = [ranking.user_metrics(p.targets, best, k).withColumn("k", F.lit(k)) for k in (100, 300, UNION)]
@@ -519,7 +519,7 @@ def user_sql() -> str:
     return f"SELECT * FROM (SELECT user_id, as_of_date, {', '.join(cols)} FROM pit GROUP BY user_id, as_of_date) {' '.join(ents)}"
 
 
-_PIT = "SELECT rich.*, as_of_date, as_of_date - date AS age FROM rich JOIN few ON date <= as_of_date"
+_PIT = "SELECT rich.*, as_of_date, as_of_date - date AS age FROM rich JOIN specs ON date <= as_of_date"
 
 
 @query(user_sql(), pit=_PIT)
@@ -547,19 +547,19 @@ def cross_sql() -> str:
     cols += [f"round(coalesce(coalesce(sum(h.quantity) FILTER (h.{c} = p.{c}), 0) / sum(h.quantity), 0.0), 6) AS {c}_preference_match" for c in ("department", "colour", "product_type")]
     mine = f"SELECT p.user_id, p.item_id, p.as_of_date, {', '.join(cols)} FROM prs p LEFT JOIN rich h ON h.user_id = p.user_id AND h.date <= p.as_of_date GROUP BY p.user_id, p.item_id, p.as_of_date"
     wins = ", ".join(f"CAST(coalesce(sum(w.quantity) FILTER (p.as_of_date - w.date < {d}{cond}), 0) AS DOUBLE) AS item_{k}_purchase_count_{d}d" for d in features.POPULARITY_WINDOWS for k, cond in (("global", ""), ("channel", " AND w.sales_channel_mode = p.channel"), ("cohort", " AND coalesce(wc.cohort, 'unknown') = p.cohort")))
-    world = f"SELECT p.user_id, p.item_id, sum(w.mean_price * w.quantity) / sum(w.quantity) FILTER (w.mean_price IS NOT NULL) AS cmp, {wins} FROM prs p LEFT JOIN rich w ON w.item_id = p.item_id AND w.date <= p.as_of_date LEFT JOIN cohorts wc ON wc.user_id = w.user_id GROUP BY p.user_id, p.item_id"
+    world = f"SELECT p.user_id, p.item_id, p.as_of_date, sum(w.mean_price * w.quantity) / sum(w.quantity) FILTER (w.mean_price IS NOT NULL) AS cmp, {wins} FROM prs p LEFT JOIN rich w ON w.item_id = p.item_id AND w.date <= p.as_of_date LEFT JOIN cohorts wc ON wc.user_id = w.user_id GROUP BY p.user_id, p.item_id, p.as_of_date"
     names = [f"user_{x}_purchase_count" for x in levels] + [f"user_{x}_recency_days" for x in levels if x != "product_type"]
     return f"""SELECT user_id, item_id, as_of_date, {', '.join(names)}, round(ump + 1e-9, 4) AS user_mean_price, round(cmp + 1e-9, 4) AS candidate_mean_price, round(cmp - ump + 1e-9, 4) AS price_diff,
   department_preference_match, colour_preference_match, product_type_preference_match, CASE WHEN user_style_purchase_count > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS user_bought_same_style,
   CASE WHEN user_style_purchase_count > 0 AND user_item_purchase_count = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS candidate_same_style_new_color,
-  {', '.join(f'item_{k}_purchase_count_{d}d' for d in features.POPULARITY_WINDOWS for k in ('global', 'channel', 'cohort'))} FROM ({mine}) JOIN ({world}) USING (user_id, item_id)"""
+  {', '.join(f'item_{k}_purchase_count_{d}d' for d in features.POPULARITY_WINDOWS for k in ('global', 'channel', 'cohort'))} FROM ({mine}) JOIN ({world}) USING (user_id, item_id, as_of_date)"""
 
 
 @query(
     cross_sql(),
-    prs=f"""SELECT x.user_id, x.item_id, train_end AS as_of_date, product_code AS style, {sql.category('department_name')} AS department, {sql.category('colour_group_name')} AS colour, {sql.category('product_type_name')} AS product_type,
-  coalesce(cohort, 'unknown') AS cohort, channel FROM (SELECT user_id, item_id FROM targets UNION SELECT user_id, item_id FROM users, poplist WHERE rank <= 3) x JOIN art USING (item_id) JOIN b ON true LEFT JOIN cohorts USING (user_id) LEFT JOIN dominant USING (user_id)""",
-    dominant="SELECT user_id, (list(sales_channel_mode ORDER BY n DESC, sales_channel_mode))[1] AS channel FROM (SELECT user_id, sales_channel_mode, sum(quantity) AS n FROM ev JOIN b ON date <= train_end GROUP BY ALL) GROUP BY user_id",
+    prs=f"""SELECT x.user_id, x.item_id, as_of_date, product_code AS style, {sql.category('department_name')} AS department, {sql.category('colour_group_name')} AS colour, {sql.category('product_type_name')} AS product_type,
+  coalesce(cohort, 'unknown') AS cohort, channel FROM (SELECT DISTINCT user_id, item_id, as_of_date FROM lab) x JOIN art USING (item_id) LEFT JOIN cohorts USING (user_id) LEFT JOIN dominant USING (user_id, as_of_date)""",
+    dominant="SELECT user_id, as_of_date, (list(sales_channel_mode ORDER BY n DESC, sales_channel_mode))[1] AS channel FROM (SELECT user_id, as_of_date, sales_channel_mode, sum(quantity) AS n FROM ev JOIN specs ON date <= as_of_date GROUP BY ALL) GROUP BY ALL",
 )
 def cross_features(p: Plan) -> DataFrame:
     return features.cross_features(p.pairs, p.rich, p.articles, p.cohorts)
@@ -577,8 +577,7 @@ def ranking_features(p: Plan) -> DataFrame:
 
 
 _DATA = f"""SELECT rr.*, CASE WHEN t.item_id IS NULL THEN 0 ELSE 1 END AS label, CAST(v.n AS DOUBLE) AS item_n_style_variants, v.department AS item_department_name_token, 0.0::DOUBLE AS item_missing,
-  CASE WHEN CAST(rr.user_id AS BIGINT) % 7 = 0 THEN 0.0 ELSE coalesce(c.age, 0.0) END::DOUBLE AS customer_age, CASE WHEN CAST(rr.user_id AS BIGINT) % 7 = 0 THEN 'unknown' ELSE coalesce(cohort, 'unknown') END AS customer_age_bucket,
-  CASE WHEN CAST(rr.user_id AS BIGINT) % 7 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS customer_missing FROM rr LEFT JOIN targets t USING (user_id, item_id)
+  coalesce(c.age, 0.0)::DOUBLE AS customer_age, coalesce(cohort, 'unknown') AS customer_age_bucket, CASE WHEN c.user_id IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS customer_missing FROM rr LEFT JOIN targets t USING (user_id, item_id)
   JOIN (SELECT item_id, count(*) OVER (PARTITION BY product_code) AS n, {sql.category('department_name')} AS department FROM art) v USING (item_id) LEFT JOIN cust c USING (user_id) LEFT JOIN cohorts USING (user_id)"""
 _RD = {"evidence": _EVID, "rr": _RANK, "rd": _DATA}
 
@@ -626,13 +625,12 @@ def weight_grid(p: Plan) -> DataFrame:
     return p.spark.createDataFrame(rows, "tier string, grid_id int, sequence double, popular double, category_popular double, item2item double")
 
 
-_COARSE = {t: ranking.weight_grid(t, 0.05)[::7] for t in ranking.RANGES}
-_COARSE_SQL = f"SELECT * FROM (VALUES {sql.values((t, i, c, w) for t, grid in _COARSE.items() for i, by in enumerate(grid) for c, w in by.items())}) AS g(tier, grid_id, channel, weight)"
+_GRID_ROWS = f"SELECT tier, grid_id, channel, weight FROM ({_GRID_SQL}) UNPIVOT (weight FOR channel IN (sequence, popular, category_popular, item2item))"
 
 
 @query(
     "SELECT g.tier, CAST(g.grid_id AS INTEGER) AS grid_id, n_users, round(coalesce(s, 0.0) / n_users, 9) AS map FROM (SELECT DISTINCT tier, grid_id FROM grid) g JOIN sizes USING (tier) LEFT JOIN (SELECT tier, grid_id, sum(p / least(n_actual, 12)) AS s FROM gap JOIN nact USING (user_id) GROUP BY ALL) USING (tier, grid_id)",
-    grid=_COARSE_SQL,
+    grid=_GRID_ROWS,
     sizes="SELECT tier, count(*) AS n_users FROM tiers GROUP BY tier",
     gs="SELECT tier, grid_id, user_id, item_id, row_number() OVER (PARTITION BY tier, grid_id, user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT tier, grid_id, user_id, item_id, round(sum(weight / rank), 9) AS score FROM un JOIN tiers USING (user_id) JOIN grid USING (tier, channel) WHERE weight > 0 GROUP BY ALL)",
     gap="SELECT tier, grid_id, user_id, sum(c / rank) AS p FROM (SELECT gs.*, count(*) OVER (PARTITION BY tier, grid_id, user_id ORDER BY rank) AS c FROM gs JOIN targets USING (user_id, item_id) WHERE rank <= 12) GROUP BY ALL",

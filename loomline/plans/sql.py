@@ -88,7 +88,6 @@ CTE: dict[str, str] = {
     "specs": """SELECT as_of_date, split, as_of_date + 1 AS label_start, as_of_date + 7 AS label_end FROM (
   SELECT CAST(train_end - 7 - CAST(7 * k AS INTEGER) AS DATE) AS as_of_date, 'train' AS split FROM b, generate_series(0, 102) AS g(k)
   UNION ALL SELECT train_end, 'valid' FROM b UNION ALL SELECT valid_end, 'test' FROM b)""",
-    "few": "SELECT as_of_date FROM specs WHERE split <> 'train' UNION ALL SELECT as_of_date FROM (SELECT as_of_date FROM specs WHERE split = 'train' ORDER BY 1 DESC LIMIT 4)",
     "lab": """SELECT l.user_id, l.item_id, as_of_date, split, true AS label_purchase, coalesce(f.d <= as_of_date, false) AS label_repeat, NOT coalesce(f.d <= as_of_date, false) AS label_new_to_user,
   NOT coalesce(f.d <= as_of_date, false) AND coalesce(g.d <= as_of_date, false) AS label_same_style_new_color, label_quantity FROM
   (SELECT user_id, item_id, as_of_date, split, CAST(sum(quantity) AS BIGINT) AS label_quantity FROM ev JOIN specs ON date BETWEEN label_start AND label_end GROUP BY ALL) l
@@ -141,7 +140,7 @@ CTE: dict[str, str] = {
         for c, t in {"sequence": "r_sequence", "popular": "r_popular", "category_popular": "r_category", "item2item": "r_item", "repurchase": "r_repurchase", "style": "r_style", "content": "r_content"}.items()
     ),
     "items": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, split ORDER BY channel_count DESC, best_rank, max_score DESC, item_id) AS n FROM
-  (SELECT user_id, item_id, split, count(*) AS channel_count, min(rank) AS best_rank, max(score) AS max_score FROM cand GROUP BY ALL)) WHERE n <= 100""",
+  (SELECT user_id, item_id, split, count(*) AS channel_count, min(rank) AS best_rank, max(score) AS max_score FROM cand GROUP BY ALL)) WHERE n <= 500""",
     "un": "SELECT cand.* FROM cand SEMI JOIN items USING (user_id, item_id, split)",
     "wt": f"SELECT * FROM (VALUES {WEIGHTS}) AS t(tier, channel, weight)",
     "fused": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, round(sum(weight / rank), 9) AS score FROM un JOIN tiers USING (user_id) JOIN wt USING (tier, channel) WHERE weight > 0 GROUP BY ALL)) WHERE rank <= 12",
