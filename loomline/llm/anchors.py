@@ -60,6 +60,27 @@ class RollingHash:
         return mix(self.raw(start, end) + (end - start).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of words by their bytes: mixed 8-byte pieces, each with its place, then the length.
+
+    A polynomial of the bytes modulo 2**64 has words that collide for every base (Thue-Morse order and its
+    complement); pieces that are mixed before they are added have no such structure.
+    """
+    size = stops - starts
+    pieces = (size + 7) >> 3
+    first = np.cumsum(pieces) - pieces
+    word = np.repeat(np.arange(len(size)), pieces)
+    place = np.arange(len(word)) - first[word]
+    at = starts[word] + 8 * place
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[at]
+    left = np.minimum(stops[word] - at, 8).astype(U64)
+    eight &= U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * left)
+    mixed = mix(eight ^ mix((place.astype(U64) + U64(1)) * U64(0xA0761D6478BD642F)))
+    sums = np.add.reduceat(mixed, first) if len(first) else np.zeros(0, U64)
+    return mix(sums + size.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """The minimum of every w neighbours; doubling, so log2(w) passes."""
     span, out = 1, x

@@ -49,17 +49,26 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """(doc, ord, data): id with null as the smallest, ordinal among rows of one id, text as bytes (null: empty).
+def doc_key(id_col: str):
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 
-    Rows with one id and different texts are different documents, ordered by text; rows
-    equal in both are one document. Only if an id repeats does this shuffle texts.
+
+def ids_repeat(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether several rows share an id; reads the ids only."""
+    return not docs.groupBy(doc_key(id_col)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str, repeat: bool | None = None) -> DataFrame:
+    """(doc, ord, data): id with null as the smallest, order among rows of one id, text as bytes (null: empty).
+
+    Rows with one id and different texts are different documents, ordered by a hash of the text, so
+    that no number of them meets in one task; rows equal in both are one document. Where no id repeats ord is 0, which takes
+    no room in shuffles. repeat: what ``ids_repeat`` said, if it was asked.
     """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"), *[F.col(x) for x in more])
-    repeats = base.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if repeats.isEmpty():
-        return base.withColumn("ord", F.lit(0))
-    return base.withColumn("ord", (F.dense_rank().over(Window.partitionBy("doc").orderBy("data")) - 1).cast("int"))
+    repeat = ids_repeat(docs, id_col) if repeat is None else repeat
+    data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    ord_ = F.xxhash64(data) if repeat else F.lit(0).cast("long")
+    return docs.select(doc_key(id_col).alias("doc"), ord_.alias("ord"), data.alias("data"), *[F.col(x) for x in more])
 
 
 def restored(col: str = "doc", name: str = "doc_id"):

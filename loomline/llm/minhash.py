@@ -14,8 +14,9 @@ A pair at a similarity of 0.8 agrees in 25.6 of 32 places on average and in fewe
 with a probability below 1e-6.
 
 Nulls, empty texts: no shingles, linked with nothing. A null id counts as the smallest. Rows
-with one id are one node, and their links add up. Repeated rows give equal rows. Extra columns
-are ignored; an empty table gives an empty result.
+with one id and different texts are different documents, ordered by a hash of the text, of which a group keeps the
+first; rows equal in both are one document and get equal rows. Extra columns are ignored; an
+empty table gives an empty result. Words and shingles are compared by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.anchors import RollingHash, mix
-from loomline.llm.common import buffers, configure, emit, keyed, load, restored, slices, table, word_spans, written
+from loomline.llm.anchors import RollingHash, mix, word_hashes
+from loomline.llm.common import buffers, configure, doc_key, emit, ids_repeat, keyed, load, restored, slices, table, word_spans, written
 from loomline.llm.graph import components
 
 COORDINATES, MATCHES = 32, 13
@@ -42,8 +43,7 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndar
     upper = (data >= 65) & (data <= 90)
     data = np.where(upper, data + 32, data).astype(np.uint8)
     starts, stops, upto = word_spans(data, ends)
-    words = RollingHash(data).of(starts, stops)
-    hashes = RollingHash(words)
+    hashes = RollingHash(word_hashes(data, starts, stops))
     begin = np.concatenate(([0], upto[:-1]))
     count = upto - begin
     n = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
@@ -58,7 +58,7 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndar
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, n, s1, s2, sig): set size, two hashes of the set, signature of 32-bit values."""
+    """(doc, ord, n, s1, s2, sig): set size, two hashes of the set, signature of 32-bit values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,6 +79,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 yield table(
                     {
                         "doc": (batch.column("doc").slice(i, j - i), pa.int64()),
+                        "ord": (batch.column("ord").slice(i, j - i), pa.int64()),
                         "n": (n, pa.int64()),
                         "s1": (sums[0].view(np.int64), pa.int64()),
                         "s2": (sums[1].view(np.int64), pa.int64()),
@@ -86,7 +87,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     }
                 )
 
-    return docs.select("doc", "data").mapInArrow(run, "doc long, n long, s1 long, s2 long, sig binary")
+    return docs.select("doc", "ord", "data").mapInArrow(run, "doc long, ord long, n long, s1 long, s2 long, sig binary")
 
 
 def tokens(classes: DataFrame) -> DataFrame:
@@ -243,20 +244,27 @@ def exact_links(members: DataFrame, size: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): components of links with 100 * shared >= percent * union."""
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = BLOCK, repeat: bool | None = None) -> DataFrame:
+    """(doc, ord, n_shingles, component, kept): documents by ``keyed``, the first id of the group, and whether the row is the group's first."""
     configure(docs.sparkSession)
-    base = keyed(docs, id_col, text_col)
+    repeat = ids_repeat(docs, id_col) if repeat is None else repeat
+    base = keyed(docs, id_col, text_col, repeat=repeat)
     signed = written(signatures(base, size), "signatures")
-    classes = written(signed.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("v"), F.min("sig").alias("sig")), "classes")
+    first = F.struct("doc", "ord")
+    classes = signed.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(first).alias("first"), F.min("sig").alias("sig"))
+    classes = written(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
     postings = prefixes(classes).join(classes.select("v", "n", "sig"), "v")
     families = written(components(candidate_links(postings, percent / 100)), "families")
     roots = families.select(F.col("root").alias("v"), "root").distinct()
     families = families.unionByName(roots)
     sizes = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     placed = families.join(sizes, "root").select("v", F.col("root").alias("family"), "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"))
-    # rows of one id are one node, each with its own set; the families grow with the corpus, so they are never broadcast
-    texts = written(placed.join(base.select(F.col("doc").alias("v"), "data").hint("merge"), "v").withColumn("asked", F.lit(None).cast("boolean")), "members")
+    placed = placed.join(classes.select("v", "first.doc", "first.ord"), "v")
+    # the families grow with the corpus, so they are never broadcast
+    texts = placed.join(base.select("doc", "ord", "data").hint("merge"), ["doc", "ord"]).drop("doc", "ord")
+    if repeat:  # rows equal in id and text
+        texts = texts.dropDuplicates(["v"])
+    texts = written(texts.withColumn("asked", F.lit(None).cast("boolean")), "members")
     wide = texts.filter("blocks > 1")
     pilots = wide.filter("v = family").select("v", "family", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), "block", "data", "asked").filter("at <> block").drop("block").withColumnRenamed("at", "block")
     links = written(exact_links(texts.unionByName(pilots), size, percent), "links")
@@ -270,10 +278,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = wide.withColumn("asked", F.lit(False)).drop("blocks")
         queries = asked.filter("at <> block").select("v", "family", F.col("at").alias("block"), F.lit(True).alias("asked"), "data")
         links = links.unionByName(written(exact_links(rest.unionByName(queries), size, percent), "links"))
-    labels = components(links)
-    member = signed.join(classes.select("s1", "s2", "n", "v"), ["s1", "s2", "n"], "left").select("doc", "n", F.coalesce("v", "doc").alias("v"))
-    joined = member.join(labels, "v", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("root", "v").alias("component"))
-    return joined.select(restored("doc", id_col), "n_shingles", restored("component", "component_id"), (F.col("component") == F.col("doc")).alias("kept"))
+    # the first document of each component of classes, then of each class, then of each row
+    named = classes.select("s1", "s2", "n", "v", "first").join(components(links), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    heads = named.groupBy("root").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("root", "head")
+    named = named.join(heads, "root", "left").select("s1", "s2", "n", F.coalesce("head", "first").alias("head"))
+    member = signed.select("doc", "ord", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left").withColumn("head", F.coalesce("head", first))
+    return member.select("doc", "ord", F.col("n").alias("n_shingles"), F.col("head.doc").alias("component"), (F.col("head") == first).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): components of links with 100 * shared >= percent * union."""
+    out = grouped(docs, id_col, text_col, size, percent, block)
+    return out.select(restored("doc", id_col), "n_shingles", restored("component", "component_id"), "kept")
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The first document of each group, with all rows that equal it in id and text, and their own columns."""
+    repeat = ids_repeat(docs, id_col)
+    gone = grouped(docs, id_col, text_col, size, percent, repeat=repeat).filter("NOT kept").select(F.col("doc").alias("_doc"), F.col("ord").alias("_ord")).distinct()
+    data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    return docs.join(gone, (doc_key(id_col) == F.col("_doc")) & ((F.xxhash64(data) if repeat else F.lit(0).cast("long")) == F.col("_ord")), "left_anti")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ memory: of each class of equal contexts all but the first are removed as a whole
 where one anchor has several contexts their first rows are kept for closer comparison.
 ``ends_table`` merges the removed windows of a document.
 
-Rows carry ``meta = ord << 47 | lo << 16 | n << 8 | off`` (see ``pack``).
+Rows carry ``meta = lo << 16 | n << 8 | off`` (see ``pack``).
 """
 
 from __future__ import annotations
@@ -23,20 +23,18 @@ from pyspark.sql import functions as F
 from loomline.llm import anchors
 from loomline.llm.common import buffers, emit, slices, table, word_spans
 
-ROWS = "h long, c long, doc long, meta long, kind int"
+ROWS = "h long, c long, doc long, ord long, meta long, kind int"
 CHUNK = 1 << 20
 #: Kinds of rows: still to compare, whole class to compare closer, windows removed.
 OPEN, CLOSE, GONE = 0, 1, 2
 
 
-def pack(ord_: np.ndarray, lo: np.ndarray, n: np.ndarray, off: np.ndarray) -> np.ndarray:
-    if len(ord_) and (ord_.max() >= 1 << 16 or lo.max() >= 1 << 31):
-        raise ValueError("more than 65,535 different texts under one id, or a text of 2**31 tokens")
-    return ord_.astype(np.int64) << 47 | lo.astype(np.int64) << 16 | n.astype(np.int64) << 8 | off.astype(np.int64)
+def pack(lo: np.ndarray, n: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return lo.astype(np.int64) << 16 | n.astype(np.int64) << 8 | off.astype(np.int64)
 
 
-def unpack(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return meta >> 47, meta >> 16 & 0x7FFFFFFF, meta >> 8 & 0xFF, meta & 0xFF
+def unpack(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return meta >> 16, meta >> 8 & 0xFF, meta & 0xFF
 
 
 def byte_tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +43,7 @@ def byte_tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def word_tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, stops, counts = word_spans(data, ends)
-    return anchors.RollingHash(data).of(starts, stops), counts
+    return anchors.word_hashes(data, starts, stops), counts
 
 
 def blocks(tokens: np.ndarray, ends: np.ndarray, window: int, limit: int):
@@ -62,21 +60,26 @@ def blocks(tokens: np.ndarray, ends: np.ndarray, window: int, limit: int):
         start = end
 
 
+def later_than(rows: np.ndarray, first: np.ndarray, same_doc: bool) -> np.ndarray:
+    """Which rows begin after the first of their class: in a larger document, or (same_doc) anywhere else."""
+    later = rows[:, 2] > first[:, 2]
+    if same_doc:
+        later |= (rows[:, 2] == first[:, 2]) & ((rows[:, 3] != first[:, 3]) | (rows[:, 4] != first[:, 4]))
+    return later
+
+
 def firsts(rows: np.ndarray, same_doc: bool) -> Iterator[np.ndarray]:
     """Collapses equal (h, c) within a batch: kind GONE for rows that surely go, OPEN for the others."""
-    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1]))]
+    rows = rows[np.lexsort((rows[:, 4], rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:, 1] != rows[:-1, 1]) | (rows[1:, 0] != rows[:-1, 0])
     first = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
-    later = rows[:, 2] > first[:, 2]
-    if same_doc:
-        later |= (rows[:, 2] == first[:, 2]) & (rows[:, 3] != first[:, 3])
-    rows[:, 4] = np.where(later, GONE, OPEN)
+    rows[:, 5] = np.where(later_than(rows, first, same_doc), GONE, OPEN)
     return rows
 
 
 def batch_of(rows: np.ndarray) -> pa.RecordBatch:
-    return table({**{k: (rows[:, i], pa.int64()) for i, k in enumerate(("h", "c", "doc", "meta"))}, "kind": (rows[:, 4].astype(np.int32), pa.int32())})
+    return table({**{k: (rows[:, i], pa.int64()) for i, k in enumerate(("h", "c", "doc", "ord", "meta"))}, "kind": (rows[:, 5].astype(np.int32), pa.int32())})
 
 
 def anchor_rows(docs: DataFrame, tokens: Callable, window: int, k: int, same_doc: bool) -> DataFrame:
@@ -92,7 +95,7 @@ def anchor_rows(docs: DataFrame, tokens: Callable, window: int, k: int, same_doc
                 for piece, stops, which, shift in blocks(found, ends, window, CHUNK):
                     d, lo, n, off, h, c = anchors.runs(piece, stops, window, k)
                     at = which[d] + i
-                    parts.append(np.stack([h.view(np.int64), c.view(np.int64), doc[at], pack(ord_[at], lo + shift[d], n, off), np.zeros(len(d), np.int64)], 1))
+                    parts.append(np.stack([h.view(np.int64), c.view(np.int64), doc[at], ord_[at], pack(lo + shift[d], n, off), np.zeros(len(d), np.int64)], 1))
             if parts and (rows := np.concatenate(parts)).size:
                 yield from emit(batch_of(firsts(rows, same_doc)))
 
@@ -110,7 +113,7 @@ def classes(rows: DataFrame, same_doc: bool) -> DataFrame:
         held: list[np.ndarray] = []  # first class's rows of its own document, until a second class of the anchor comes
         several = False
         for batch in batches:
-            rows = np.stack([batch.column(x).to_numpy() for x in ("h", "c", "doc", "meta")] + [np.zeros(batch.num_rows, np.int64)], 1)
+            rows = np.stack([batch.column(x).to_numpy() for x in ("h", "c", "doc", "ord", "meta")] + [np.zeros(batch.num_rows, np.int64)], 1)
             if not len(rows):
                 continue
             ahead = rows if head is None else np.concatenate([head[None], rows])
@@ -120,9 +123,7 @@ def classes(rows: DataFrame, same_doc: bool) -> DataFrame:
             group = np.ones(len(ahead), bool)
             group[1:] = ahead[1:, 0] != ahead[:-1, 0]
             skip = 0 if head is None else 1
-            later = ahead[:, 2] > first[:, 2]
-            if same_doc:
-                later |= (ahead[:, 2] == first[:, 2]) & (ahead[:, 3] != first[:, 3])
+            later = later_than(ahead, first, same_doc)
             gone = ahead[later]
             # a class's rows in its first document; repeats of one row say the same twice
             own = np.flatnonzero(~later)
@@ -136,12 +137,12 @@ def classes(rows: DataFrame, same_doc: bool) -> DataFrame:
                     many |= same
                 elif classes_in[1] > 1 and held:
                     close = np.concatenate(held)
-                    close[:, 4] = CLOSE
+                    close[:, 5] = CLOSE
                     yield from emit(batch_of(close))
                     held, several = [], True
             out = ahead[own[many[own]]].copy()
-            out[:, 4] = CLOSE
-            gone[:, 4] = GONE
+            out[:, 5] = CLOSE
+            gone[:, 5] = GONE
             if len(gone) + len(out):
                 yield from emit(batch_of(np.concatenate([gone, out])))
             last = number == number[-1]
@@ -151,13 +152,13 @@ def classes(rows: DataFrame, same_doc: bool) -> DataFrame:
                 held.append(ahead[own[last[own]]].copy())
             head = first[-1].copy()
 
-    partitioned = rows.filter(F.col("kind") == OPEN).drop("kind").repartition("h").sortWithinPartitions("h", "c", "doc", "meta")
+    partitioned = rows.filter(F.col("kind") == OPEN).drop("kind").repartition("h").sortWithinPartitions("h", "c", "doc", "ord", "meta")
     return partitioned.mapInArrow(run, ROWS)
 
 
 def gathered(removed: DataFrame) -> DataFrame:
-    """(doc, ord, cuts): a document's removed windows, each ``lo << 16 | n``, as one list; it is no longer than the document."""
-    return removed.select("doc", F.shiftright("meta", 47).cast("int").alias("ord"), (F.shiftright("meta", 8).bitwiseAND((1 << 39) - 1)).alias("cut")).groupBy("doc", "ord").agg(F.collect_list("cut").alias("cuts"))
+    """(doc, ord, cuts): a document's removed windows, each ``lo << 8 | n``, as one list; it is no longer than the document."""
+    return removed.select("doc", "ord", F.shiftright("meta", 8).alias("cut")).groupBy("doc", "ord").agg(F.collect_list("cut").alias("cuts"))
 
 
 def covered(cuts: np.ndarray, owner: np.ndarray, starts: np.ndarray, total: int, window: int) -> np.ndarray:

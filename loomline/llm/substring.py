@@ -38,24 +38,24 @@ def _windows(joined: DataFrame, window: int) -> DataFrame:
             metas = batch.column("metas")
             counts = np.asarray(metas.value_lengths())
             meta = np.asarray(metas.flatten())
-            doc = batch.column("doc").to_numpy()
+            doc, ord_ = batch.column("doc").to_numpy(), batch.column("ord").to_numpy()
             where = np.concatenate(([0], np.cumsum(counts)))
             for i, j in slices(offsets, repeats.CHUNK):
                 part, ends = data[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i]
                 starts, stops, upto = word_spans(part, ends)
-                words = anchors.RollingHash(part).of(starts, stops)
+                words = anchors.word_hashes(part, starts, stops)
                 one, two = anchors.RollingHash(words), anchors.RollingHash(anchors.mix(words ^ np.uint64(0x5851F42D4C957F2D)))
                 m = meta[where[i] : where[j]]
                 d = np.repeat(np.arange(j - i), counts[i:j])
-                ord_, lo, n, _ = repeats.unpack(m)
+                lo, n, _ = repeats.unpack(m)
                 each = np.repeat(np.arange(len(m)), n)
                 s = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
                 at = s + np.concatenate(([0], upto[:-1]))[d[each]]
-                out = np.stack([one.of(at, at + window).view(np.int64), two.of(at, at + window).view(np.int64), doc[i:j][d[each]], repeats.pack(ord_[each], s, np.ones(len(s), np.int64), np.zeros(len(s), np.int64)), np.zeros(len(s), np.int64)], 1)
+                out = np.stack([one.of(at, at + window).view(np.int64), two.of(at, at + window).view(np.int64), doc[i:j][d[each]], ord_[i:j][d[each]], repeats.pack(s, np.ones(len(s), np.int64), np.zeros(len(s), np.int64)), np.zeros(len(s), np.int64)], 1)
                 if len(out):
                     yield from emit(repeats.batch_of(repeats.firsts(out, False)))
 
-    return joined.select("doc", "data", "metas").mapInArrow(run, repeats.ROWS)
+    return joined.select("doc", "ord", "data", "metas").mapInArrow(run, repeats.ROWS)
 
 
 def _apply(joined: DataFrame, window: int) -> DataFrame:
@@ -103,11 +103,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = keyed(docs, id_col, text_col)
     rows = written(repeats.anchor_rows(base, repeats.word_tokens, window, min(SEED, window), False), "seeds")
     found = written(repeats.classes(rows, False), "classes")
-    close = found.filter(F.col("kind") == repeats.CLOSE).select("doc", F.shiftright("meta", 47).cast("int").alias("ord"), "meta").groupBy("doc", "ord").agg(F.collect_list("meta").alias("metas"))
+    close = found.filter(F.col("kind") == repeats.CLOSE).groupBy("doc", "ord").agg(F.collect_list("meta").alias("metas"))
     pieces = written(_windows(base.join(close, ["doc", "ord"]), window), "windows")
     more = repeats.classes(pieces, False)
     gone = F.col("kind") == repeats.GONE
-    removed = repeats.gathered(rows.filter(gone).unionByName(found.filter(gone)).unionByName(pieces.filter(gone)).unionByName(more.filter(gone)).select("doc", "meta"))
+    removed = repeats.gathered(rows.filter(gone).unionByName(found.filter(gone)).unionByName(pieces.filter(gone)).unionByName(more.filter(gone)).select("doc", "ord", "meta"))
     return _apply(base.join(removed, ["doc", "ord"], "left"), window).withColumn("doc", restored("doc", "doc")).withColumnRenamed("doc", id_col)
 
 

@@ -14,7 +14,7 @@ share both, but so a context travels once instead of once for each of its window
 
 Nulls and empty texts: no bytes, nothing removed. A null id counts as the smallest. Rows equal
 in id and text are one document and get equal results; rows that share an id only are ordered
-by text. The first occurrence in order of (id, text, start) stays. Extra columns are ignored.
+by a hash of the text. The first occurrence in order of (id, that hash, start) stays. Extra columns are ignored.
 An empty table gives an empty result. Memory: an Arrow batch, the longest text, or a bucket.
 """
 
@@ -37,8 +37,8 @@ from loomline.llm.common import buffers, configure, emit, keyed, load, restored,
 WINDOW, SEED = 100, 24
 #: Contexts that a bucket takes; about 150 bytes each.
 BUCKET = 30_000
-CONTEXT = "suffix binary, left binary, doc long, meta long"
-SORTED = "doc long, meta long, edge binary"
+CONTEXT = "suffix binary, left binary, doc long, ord long, meta long"
+SORTED = "doc long, ord long, meta long, edge binary"
 #: Offsets of the anchor in its window that a band has.
 BAND = 17
 OUT = "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
@@ -52,15 +52,15 @@ def _contexts(joined: DataFrame, window: int) -> DataFrame:
             counts = np.asarray(metas.value_lengths())
             meta = np.asarray(metas.flatten())
             d = np.repeat(np.arange(batch.num_rows), counts)
-            _, lo, n, off = repeats.unpack(meta)
+            lo, n, off = repeats.unpack(meta)
             start = offsets[d] + lo
             raw = data.tobytes()
             suffix = [raw[a:b] for a, b in zip((start + off).tolist(), (start + n - 1 + window).tolist(), strict=True)]
             left = [raw[a:b] for a, b in zip(start.tolist(), (start + off).tolist(), strict=True)]
-            out = table({"suffix": (suffix, pa.binary()), "left": (left, pa.binary()), "doc": (batch.column("doc").to_numpy()[d], pa.int64()), "meta": (meta, pa.int64())})
+            out = table({"suffix": (suffix, pa.binary()), "left": (left, pa.binary()), "doc": (batch.column("doc").to_numpy()[d], pa.int64()), "ord": (batch.column("ord").to_numpy()[d], pa.int64()), "meta": (meta, pa.int64())})
             yield from emit(out, 20_000)
 
-    return joined.select("doc", "data", "metas").mapInArrow(run, CONTEXT)
+    return joined.select("doc", "ord", "data", "metas").mapInArrow(run, CONTEXT)
 
 
 def quicksort_ties(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def quicksort_ties(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.n
     return live, group.astype(np.int64)
 
 
-def _bucket(suffix: pa.Array, left: pa.Array, doc: np.ndarray, meta: np.ndarray, window: int) -> pa.RecordBatch:
+def _bucket(suffix: pa.Array, left: pa.Array, doc: np.ndarray, ord_: np.ndarray, meta: np.ndarray, window: int) -> pa.RecordBatch:
     """Windows removed among those of a bucket's contexts."""
     s, s_at = buffers(suffix)
     l, l_at = buffers(left)
@@ -102,25 +102,25 @@ def _bucket(suffix: pa.Array, left: pa.Array, doc: np.ndarray, meta: np.ndarray,
     words = np.zeros(begin[-1], np.uint64)
     for i in range(8):
         words = words << np.uint64(8) | text[i : i + len(words)]
-    ord_, lo, n, off = repeats.unpack(meta)
+    lo, n, off = repeats.unpack(meta)
     row = np.repeat(np.arange(len(meta)), n)
     step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     live, group = quicksort_ties(words, begin[row] + step, window)
-    place = (ord_ << 31 | lo)[row] + step
-    order = np.lexsort((place[live], doc[row[live]], group))
+    place = lo[row] + step
+    order = np.lexsort((place[live], ord_[row[live]], doc[row[live]], group))
     live, group = live[order], group[order]
     new = np.ones(len(live), bool)
     new[1:] = group[1:] != group[:-1]
     first = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))] if len(live) else live
-    later = (doc[row[live]] != doc[row[first]]) | (place[live] != place[first])
+    later = (doc[row[live]] != doc[row[first]]) | (ord_[row[live]] != ord_[row[first]]) | (place[live] != place[first])
     gone = np.zeros(len(row), bool)
     gone[live[later]] = True
     # removed windows, merged where they follow one another in a row
     edge = np.flatnonzero(gone & ~(np.concatenate(([False], gone[:-1])) & (step > 0)))
     stop = np.flatnonzero(gone & ~(np.append(gone[1:], False) & (np.append(step[1:], 0) > 0)))
     r = row[edge]
-    removed = repeats.pack(ord_[r], lo[r] + step[edge], stop - edge + 1, np.zeros(len(r), np.int64))
-    return table({"doc": (doc[r], pa.int64()), "meta": (removed, pa.int64()), "edge": (pa.nulls(len(r), pa.binary()), pa.binary())})
+    removed = repeats.pack(lo[r] + step[edge], stop - edge + 1, np.zeros(len(r), np.int64))
+    return table({"doc": (doc[r], pa.int64()), "ord": (ord_[r], pa.int64()), "meta": (removed, pa.int64()), "edge": (pa.nulls(len(r), pa.binary()), pa.binary())})
 
 
 def _sorted(contexts: DataFrame, window: int, seed: int) -> DataFrame:
@@ -131,9 +131,9 @@ def _sorted(contexts: DataFrame, window: int, seed: int) -> DataFrame:
         if held:
             t = pa.Table.from_batches(held).combine_chunks()
             suffix = t["suffix"].combine_chunks()
-            yield from emit(_bucket(suffix, t["left"].combine_chunks(), t["doc"].to_numpy(), t["meta"].to_numpy(), window))
+            yield from emit(_bucket(suffix, t["left"].combine_chunks(), t["doc"].to_numpy(), t["ord"].to_numpy(), t["meta"].to_numpy(), window))
             seeds = [x[:seed] for x in suffix.to_pylist()]
-            yield table({"doc": ([TaskContext.get().partitionId()] * 2, pa.int64()), "meta": ([0, 0], pa.int64()), "edge": ([min(seeds), max(seeds)], pa.binary())})
+            yield table({"doc": ([TaskContext.get().partitionId()] * 2, pa.int64()), "ord": ([0, 0], pa.int64()), "meta": ([0, 0], pa.int64()), "edge": ([min(seeds), max(seeds)], pa.binary())})
 
     return contexts.mapInArrow(run, SORTED)
 
@@ -144,8 +144,8 @@ def _bands(contexts: DataFrame, window: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             suffix, left = batch.column("suffix").to_pylist(), batch.column("left").to_pylist()
-            doc, meta = batch.column("doc").to_numpy(), batch.column("meta").to_numpy()
-            ord_, lo, n, off = repeats.unpack(meta)
+            doc, ord_, meta = (batch.column(x).to_numpy() for x in ("doc", "ord", "meta"))
+            lo, n, off = repeats.unpack(meta)
             for least in range(0, window - seed + 1, BAND):
                 most = min(least + BAND - 1, window - seed)
                 far, near = np.minimum(off, most), np.maximum(off - n + 1, least)
@@ -156,7 +156,8 @@ def _bands(contexts: DataFrame, window: int, seed: int) -> DataFrame:
                         "suffix": ([suffix[i][: window - d] for i, _, d in cut], pa.binary()),
                         "left": ([left[i][len(left[i]) - d :] for i, d, _ in cut], pa.binary()),
                         "doc": (doc[r], pa.int64()),
-                        "meta": (repeats.pack(ord_[r], lo[r] + off[r] - far[r], far[r] - near[r] + 1, far[r]), pa.int64()),
+                        "ord": (ord_[r], pa.int64()),
+                        "meta": (repeats.pack(lo[r] + off[r] - far[r], far[r] - near[r] + 1, far[r]), pa.int64()),
                         "core": ([left[i][len(left[i]) - least :] + suffix[i][: window - most] for i, _, _ in cut], pa.binary()),
                     }
                 )
@@ -213,7 +214,7 @@ def remove_suffix_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = written(repeats.classes(rows, True), "classes")
     compare = found.filter(F.col("kind") == repeats.CLOSE)
     buckets = max(1, math.ceil(compare.count() / bucket))
-    close = compare.select("doc", F.shiftright("meta", 47).cast("int").alias("ord"), "meta").groupBy("doc", "ord").agg(F.collect_list("meta").alias("metas"))
+    close = compare.groupBy("doc", "ord").agg(F.collect_list("meta").alias("metas"))
     contexts = written(_contexts(base.join(close, ["doc", "ord"]), window), "contexts")
     done = written(_sorted(contexts.repartitionByRange(buckets, "suffix"), window, seed), "buckets")
     # two rows a bucket, so no more seeds than buckets
@@ -222,7 +223,7 @@ def remove_suffix_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str
     again = _sorted(_bands(cut, window, seed).repartition(2 * buckets, "core").drop("core"), window, seed)
     gone = F.col("kind") == repeats.GONE
     parts = [x.filter(gone) for x in (rows, found)] + [x.filter("edge IS NULL") for x in (done, again)]
-    removed = repeats.gathered(reduce(DataFrame.unionByName, (x.select("doc", "meta") for x in parts)))
+    removed = repeats.gathered(reduce(DataFrame.unionByName, (x.select("doc", "ord", "meta") for x in parts)))
     return _apply(base.join(removed, ["doc", "ord"], "left"), window).withColumn("doc", restored("doc", "doc")).withColumnRenamed("doc", id_col)
 
 
