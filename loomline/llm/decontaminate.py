@@ -13,7 +13,7 @@ similarity of 0.8 is 9.7 bits away on average, and beyond 23 with a probability
 Weighted Jaccard on exact shingle counts then verifies each candidate.
 
 Nulls, empty texts and empty items match nothing. Fewer words than a shingle are one shingle. A
-null id counts as an id; rows that share an id are looked at each, and a document and item give
+null id counts as an id; rows that share an id are judged each by its own text, and an id and item give
 one row with the best window, the first among equals. Extra columns are ignored; an empty table
 gives no rows.
 """
@@ -22,10 +22,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import WORD, configure, keyed, load, restored, written
+from loomline.llm.common import WORD, configure, doc_key, ids_repeat, keyed, load, restored, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, REACH = 8, 2
@@ -80,10 +80,10 @@ def neighbours(reach: int) -> list[int]:
     return [sum(1 << x for x in bits) for n in range(reach + 1) for bits in combinations(range(width), n)]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, start, similarity): documents with a window as similar to an item; start in shingles."""
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, repeat: bool | None = None) -> DataFrame:
+    """(doc, ord, item, start, similarity): all windows as similar to an item, of documents by ``keyed``."""
     configure(docs.sparkSession)
-    base = keyed(docs, id_col, text_col).select("doc", "ord", F.col("data").cast("string").alias("text"))
+    base = keyed(docs, id_col, text_col, repeat=repeat).select("doc", "ord", F.col("data").cast("string").alias("text"))
     item_rows = items.select(F.col("item_id").cast("long").alias("item"), F.explode(shingles(F.coalesce(F.col("text"), F.lit("")))).alias("h"))
     # items of one id and different texts are one item with all their shingles
     counts = written(item_rows.filter("item IS NOT NULL").groupBy("item", "h").agg(F.count(F.lit(1)).alias("c")), "items")
@@ -122,15 +122,22 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     shared = pairs.join(content, window).join(counts.withColumnRenamed("c", "item_c"), ["item", "h"])
     verified = shared.groupBy(*window, "item").agg(F.sum(F.least("c", "item_c")).alias("both"))
     verified = verified.withColumn("similarity", F.col("both") / (F.col("size") + F.col("w") - F.col("both"))).filter(F.col("similarity") >= similarity - 1e-12)
-    best = Window.partitionBy("doc", "item").orderBy(F.desc("similarity"), "ord", "start")
-    out = verified.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
-    return out.select(restored("doc", id_col), F.col("item").alias("item_id"), F.col("start").cast("long").alias("start"), "similarity")
+    return verified.select("doc", "ord", "item", F.col("start").cast("long").alias("start"), "similarity")
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without any contaminated window; rows that share an id go together."""
-    found = contaminated(docs, items).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_bad")).distinct()
-    return docs.join(found, F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) == F.col("_bad"), "left_anti")
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, item_id, start, similarity): documents with a window as similar to an item, the best of each; start in shingles."""
+    best = F.min(F.struct(F.negative("similarity").alias("minus"), "ord", "start")).alias("x")
+    out = matches(docs, items, id_col, text_col, similarity).groupBy("doc", "item").agg(best)
+    return out.select(restored("doc", id_col), F.col("item").alias("item_id"), F.col("x.start").alias("start"), (-F.col("x.minus")).alias("similarity"))
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without any contaminated window; of rows that share an id each is judged by its own text."""
+    repeat = ids_repeat(docs, id_col)
+    found = matches(docs, items, id_col, text_col, repeat=repeat).select(F.col("doc").alias("_doc"), F.col("ord").alias("_ord")).distinct()
+    data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    return docs.join(found, (doc_key(id_col) == F.col("_doc")) & ((F.xxhash64(data) if repeat else F.lit(0).cast("long")) == F.col("_ord")), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ the last one of a source is drawn by itself. So a source's words differ from its
 target by less than one copy of one document.
 
 Draws depend on the id, the level and ``seed`` only, so reruns agree on any partitioning.
-Nulls and empty texts: size 0, nothing taken. A null source is a source of its own, the last.
+Nulls and empty texts: size 0, no words taken; they are repeated by the whole part of what their source is wanted. A null source is a source of its own, the last.
 Null ids and rows that share an id are ordered by text; equal rows share one draw and go
 separately. Extra columns are ignored; an empty table gives an empty result.
 """
