@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomline.llm.common import NULL_ID, load, written
+from loomline.llm.common import load, written
 from loomline.llm.decontaminate import clean
-from loomline.llm.minhash import near_duplicates
+from loomline.llm.minhash import without_duplicates
 from loomline.llm.mixing import mixture, repeated
 from loomline.llm.quality import keep_good, sites_of_documents
 from loomline.llm.token_files import stored_tokens
@@ -24,9 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates; rows that share an id stay together."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_gone")).distinct()
-    return docs.join(gone, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("_gone"), "left_anti")
+    """Keeps the document with the smallest id of each group of near duplicates."""
+    return without_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
