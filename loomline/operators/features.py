@@ -42,6 +42,19 @@ def item_features(articles: DataFrame, also: DataFrame | None = None) -> DataFra
     return out.unionByName(extra.select("item_id", *[value(n, k).alias(n) for n, k in out.dtypes if n != "item_id"]))
 
 
+# Categories of the items of a sequence model.
+SEQUENCE_ITEM_FIELDS = ("product_type_name", "department_name", "section_name", "garment_group_name", "colour_group_name", "index_name", "product_group_name", "graphical_appearance_name")
+
+
+def sequence_items(features: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(item_id, eight category tokens) of item features, or of the items of ``wanted``: those without features are unknown."""
+    tokens = features.select("item_id", *[F.col(f"{c}_token").alias(c) for c in SEQUENCE_ITEM_FIELDS])
+    one = tokens.groupBy("item_id").agg(F.min(F.struct(*SEQUENCE_ITEM_FIELDS)).alias("x")).select("item_id", "x.*")
+    if wanted is None:
+        return one
+    return wanted.select("item_id").distinct().join(one, "item_id", "left").na.fill(expr.UNKNOWN, list(SEQUENCE_ITEM_FIELDS))
+
+
 def customer_features(customers: DataFrame, also: DataFrame | None = None) -> DataFrame:
     age, bucket, age_missing = expr.age_parts(F.col("age"))
     postal = expr.strip(F.col("postal_code"))

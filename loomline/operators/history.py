@@ -202,6 +202,37 @@ def sequence_samples(inter: DataFrame, split: str, b: SplitBounds, users: DataFr
     return out.filter(F.size("history") > 0).select("user_id", F.array_join("history", " ").alias("history"), F.size("history").cast("long").alias("item_length"), "item_id", "date")
 
 
+def next_basket_targets(labels: DataFrame, split: str) -> DataFrame:
+    """(user_id, item_id): what users of a split bought in their label windows; raises if there is nothing."""
+    out = labels.filter((F.lower("split") == split) & F.coalesce("label_purchase", F.lit(False))).select("user_id", "item_id").distinct()
+    if out.isEmpty():
+        raise ValueError(f"no next-basket targets of split {split}")
+    return out
+
+
+def snapshot_users(candidates: DataFrame, index: DataFrame, split: str) -> DataFrame:
+    """Candidates of users that a split's snapshots have."""
+    return candidates.join(index.filter(F.col("split") == split).select("user_id").distinct(), "user_id", "left_semi")
+
+
+def sorted_interactions(inter: DataFrame) -> DataFrame:
+    """By user, time and item: a range sort, for a sink that keeps the order."""
+    return inter.orderBy("user_id", "timestamp", "item_id")
+
+
+def decreasing_days(df: DataFrame, order: str, day: str = "date") -> DataFrame:
+    """(n_decreasing): neighbours in the order of a unique column whose day falls; null days are passed over.
+
+    Rows are dealt by range of the order; within a part neighbours meet in a window, and parts meet by their first and last rows.
+    """
+    rows = df.filter(F.col(day).isNotNull()).select(F.col(order).alias("at"), F.col(day).alias("day"))
+    parts = rows.repartitionByRange("at").withColumn("part", F.spark_partition_id())
+    in_part = Window.partitionBy("part").orderBy("at")
+    per = parts.withColumn("fell", F.col("day") < F.lag("day").over(in_part)).groupBy("part").agg(F.count_if("fell").alias("n"), F.min_by("day", "at").alias("first"), F.max_by("day", "at").alias("last"))
+    # one row a partition
+    return per.withColumn("edge", F.col("first") < F.lag("last").over(Window.orderBy("part"))).agg((F.coalesce(F.sum("n"), F.lit(0)) + F.count_if("edge")).alias("n_decreasing"))
+
+
 def check_split(df: DataFrame) -> None:
     """Raises unless all splits have rows and follow one another."""
     spans = {x.split: (x.a, x.b) for x in df.groupBy("split").agg(F.min("date").alias("a"), F.max("date").alias("b")).collect()}

@@ -176,7 +176,9 @@ def coverage(candidates: DataFrame, users: DataFrame, k: int) -> DataFrame:
 def with_features(rows: DataFrame, table: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     """Left join of a feature table under a prefix. Defaults fill rows without a match only; a matched null stays."""
     values = [c for c in table.columns if c not in keys]
-    named = table.dropDuplicates(keys).select(*keys, *[F.col(c).alias(f"{prefix}{c}") for c in values], F.lit(True).alias("_hit"))
+    # of rows that share a key the smallest stands, so that reruns agree
+    one = table.groupBy(*keys).agg(F.min(F.struct(*values)).alias("_x")).select(*keys, "_x.*")
+    named = one.select(*keys, *[F.col(c).alias(f"{prefix}{c}") for c in values], F.lit(True).alias("_hit"))
     out = rows.join(named, keys, "left")
     kinds = dict(table.dtypes)
     for c in values:
@@ -185,6 +187,39 @@ def with_features(rows: DataFrame, table: DataFrame, keys: list[str], prefix: st
     return out.withColumn(f"{prefix}missing", F.when(F.col("_hit").isNull(), 1.0).otherwise(0.0)).drop("_hit")
 
 
+def miss_rates(rows: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
+    """(feature, n_rows, n_missing, miss_rate): rows without a match in each joined table."""
+    each = F.array(*[F.struct(F.lit(p.rstrip("_")).alias("feature"), F.col(f"{p}missing").alias("m")) for p in prefixes])
+    long = rows.select(F.explode(each).alias("x")).select("x.feature", "x.m")
+    return long.groupBy("feature").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("m") > 0).alias("n_missing"), F.round(F.avg("m"), 6).alias("miss_rate"))
+
+
+def group_sizes(rows: DataFrame) -> DataFrame:
+    """(group, n_rows) by group_id, or by user_id where rows have none."""
+    group = next((c for c in ("group_id", "user_id") if c in rows.columns), None)
+    if group is None:
+        raise ValueError("rows have neither group_id nor user_id")
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def with_snapshot(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """snapshot_date of rows (user_id, split). days (user_id, split, snapshot_date): a null split stands for all splits, a null user for all
+    users; a row of user and split comes before one of the user, and that before the general one. A row without a day raises when it is read."""
+    key = lambda *c: [F.col(x) for x in c]
+    pair = days.filter("user_id IS NOT NULL AND split IS NOT NULL").select(*key("user_id"), F.lower(F.trim("split")).alias("_split"), F.col("snapshot_date").alias("_d1"))
+    user = days.filter("user_id IS NOT NULL AND split IS NULL").select("user_id", F.col("snapshot_date").alias("_d2"))
+    all_ = days.filter("user_id IS NULL AND split IS NULL").agg(F.max("snapshot_date").alias("_d3"))
+    out = rows.withColumn("_split", F.lower(F.trim("split"))).join(pair, ["user_id", "_split"], "left").join(user, "user_id", "left").crossJoin(F.broadcast(all_))
+    none = F.raise_error(F.concat(F.lit("no snapshot date for user "), "user_id", F.lit(", split "), "_split")).cast("date")
+    return out.withColumn("snapshot_date", F.coalesce("_d1", "_d2", "_d3", none).cast("date")).select(*rows.columns, "snapshot_date")
+
+
+def shortlist(checkpoints: DataFrame, n: int, bigger: bool = True) -> DataFrame:
+    """The n best of (checkpoint, score, validation_index), ties to the earlier one. A run has few checkpoints."""
+    order = F.desc("score") if bigger else F.asc("score")
+    return checkpoints.orderBy(order, "validation_index").limit(n)
+
+
 def with_labels(rows: DataFrame, positives: DataFrame, keys: list[str]) -> DataFrame:
     """label 1 for rows whose key is positive; keys without a row never become one."""
     return rows.join(positives.select(*keys).distinct().withColumn("label", F.lit(1)), keys, "left").withColumn("label", F.coalesce("label", F.lit(0)))
@@ -260,6 +295,8 @@ def search_weights(candidates: DataFrame, targets: DataFrame, user_tiers: DataFr
     What isn't tried keeps its weight; a tier without users keeps its defaults. Tiers are independent of one another.
     """
     best = {t: dict(WEIGHTS[t]) for t in RANGES}
+    # every trial reads the candidates again: once from their plan, then from what is kept
+    candidates, targets, user_tiers = kept = [x.persist() for x in (candidates.select("user_id", "item_id", "channel", "rank"), targets.select("user_id", "item_id"), user_tiers.select("user_id", "tier"))]
     scored = lambda trials: best_weights(grid_scores(candidates, targets, user_tiers, trials, k)).collect()
     reached = {r.tier: r.map for r in scored({t: [by] for t, by in best.items()})}
     for _ in range(passes):
@@ -272,6 +309,8 @@ def search_weights(candidates: DataFrame, targets: DataFrame, user_tiers: DataFr
                     reached[r.tier], best[r.tier], improved = r.map, trials[r.tier][r.grid_id], True
         if not improved:
             break
+    for x in kept:
+        x.unpersist()
     return best
 
 

@@ -102,7 +102,8 @@ class Plan(retail.Retail):
 
     @cached_property
     def rich(self) -> DataFrame:
-        return features.enriched(self.events, self.articles, BANDS)
+        """Kept: feature tables read it up to ten times each."""
+        return features.enriched(self.events, self.articles, BANDS).persist()
 
     @cached_property
     def ranking_rows(self) -> DataFrame:
@@ -604,6 +605,16 @@ def group_filter(p: Plan) -> DataFrame:
     return ranking.learnable(p.ranking_dataset.select("group_id", "item_id", "label"))
 
 
+@query("SELECT user_id, item_id FROM lab WHERE split = 'valid' GROUP BY ALL")
+def next_basket_targets(p: Plan) -> DataFrame:
+    return history.next_basket_targets(p.labels, "valid")
+
+
+@query("SELECT group_id, count(*) AS n_rows FROM rr GROUP BY group_id", evidence=_EVID, rr=_RANK)
+def ranking_group_sizes(p: Plan) -> DataFrame:
+    return ranking.group_sizes(p.ranking_rows)
+
+
 @query("SELECT group_id, item_id, max_channel_score, row_number() OVER (PARTITION BY group_id ORDER BY max_channel_score DESC, item_id) AS pred_rank FROM rr", evidence=_EVID, rr=_RANK)
 def rank_within_group(p: Plan) -> DataFrame:
     return ranking.rank_in_group(p.ranking_rows.select("group_id", "item_id", "max_channel_score"), "group_id", "max_channel_score")
