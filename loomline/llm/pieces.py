@@ -24,8 +24,12 @@ from loomline.llm.common import buffers
 #: White space beyond ASCII as UTF-8: U+0085, A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _CACHE: dict[str, tuple] = {}
-#: Distinct pieces a Python worker remembers, by model; beyond that it starts anew.
-REMEMBERED = 500_000
+#: Distinct pieces a Python worker remembers, by model, and numbers kept for them; beyond either it starts anew.
+REMEMBERED, REMEMBERED_IDS = 500_000, 16 << 20
+#: Pairs of tokens that a Python worker remembers.
+PAIRS = 1_000_000
+#: A character of private use; between pieces of a model that hasn't it, it keeps them apart.
+SEAL = "\ue000"
 #: Bytes of joined pieces that the library gets at once.
 JOINED = 1 << 20
 
@@ -46,7 +50,7 @@ def check_byte_level(spec: dict) -> None:
 
 
 class Known:
-    """Ids of the pieces seen so far. encode: (bytes of distinct pieces end to end, their offsets) -> (bounds, ids)."""
+    """Ids (or other numbers) of the pieces seen so far. encode: (bytes of distinct pieces end to end, their offsets) -> (bounds, ids)."""
 
     def __init__(self, encode: Callable):
         self.encode = encode
@@ -58,7 +62,7 @@ class Known:
 
     def numbers(self, pieces: pa.Array) -> np.ndarray:
         """The number of each of these distinct pieces; bounds and ids hold its ids."""
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
             self.clear()
         words = pieces.to_pylist()
         found = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
@@ -73,20 +77,77 @@ class Known:
         return found
 
 
-def sentencepiece_encoder(path: str) -> Known:
-    if path not in _CACHE:
-        import sentencepiece
+class PrefixCounts:
+    """Tokens of every prefix of a piece, by dynamic programming over its characters.
+
+    A sequence of BPE tokens is the encoding of its text just if each two neighbours are the
+    encoding of theirs. So the last token of a prefix is the one token ending there that fits the
+    last token of what is before it; the count is one more than there. A character that the model
+    lacks becomes its bytes and joins with nothing.
+    """
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+    def __init__(self, model):
         check_sentencepiece(model)
-        alone = [model.piece_to_id("▁")]
+        plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+        words = [model.id_to_piece(i) for i in plain]
+        if SEAL in words or not any(model.is_byte(i) for i in range(model.get_piece_size())):
+            raise ValueError("not a model that falls back to bytes")
+        self.model, self.fit = model, {}
+        self.skip = len(model.encode(SEAL))
+        self.tokens = {w for w, i, ids in zip(words, plain, model.encode([SEAL + w for w in words]), strict=True) if ids[self.skip :] == [i]}
+        self.longest = max(map(len, self.tokens))
+
+    def fits(self, a: str, b: str) -> bool:
+        known = self.fit.get((a, b))
+        if known is None:
+            if len(self.fit) > PAIRS:
+                self.fit.clear()
+            known = self.fit[a, b] = self.model.encode(SEAL + a + b, out_type=str)[self.skip :] == [a, b]
+        return known
+
+    def count(self, piece: str) -> list[int]:
+        """Tokens of the first 0, 1, 2 ... characters of the piece, with the space mark that the model puts before it."""
+        text = "▁" + piece.replace(" ", "▁")
+        counts, last = [0], [""]
+        for k in range(1, len(text) + 1):
+            if text[k - 1] not in self.tokens:
+                counts.append(counts[-1] + len(text[k - 1].encode()))
+                last.append("")
+                continue
+            for m in range(min(k, self.longest), 0, -1):
+                token = text[k - m : k]
+                if token in self.tokens and (not last[k - m] or self.fits(last[k - m], token)):
+                    counts.append(counts[k - m] + 1)
+                    last.append(token)
+                    break
+            else:
+                raise ValueError(f"no last token for a prefix of {piece!r}")
+        return counts[1:]
+
+
+def sentencepiece_prefixes(path: str) -> Known:
+    """Known pieces by their bytes: the tokens of the prefix that ends with each byte, -1 inside a character."""
+    key = path + " prefixes"
+    if key not in _CACHE:
+        import sentencepiece
 
-        def encode(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            return flat([ids or alone for ids in model.encode(texts, num_threads=1)])
+        table = PrefixCounts(sentencepiece.SentencePieceProcessor(model_file=path))
 
-        _CACHE[path] = (Known(encode),)
-    return _CACHE[path][0]
+        def encode(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            out: list[int] = []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                piece = raw[a:b].decode()
+                counts = table.count(piece)[1:]
+                if len(piece) == b - a:
+                    out += counts
+                else:
+                    for c, n in zip(piece, counts, strict=True):
+                        out += [-1] * (len(c.encode()) - 1)
+                        out.append(n)
+            return offsets - offsets[0], np.array(out, np.int32)
+
+        _CACHE[key] = (Known(encode),)
+    return _CACHE[key][0]
 
 
 def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,17 +1,19 @@
 """Token counts by prefix dynamic programming.
 
-A text splits at positions that no token crosses (see ``pieces``), so the count of a prefix
-ending there is the count of the prefix before plus that of the piece between. The table of
-these counts answers any prefix, truncation or budget question: ``fitting_bytes`` needs only
-the table, ``prefix_count`` encodes no more than the piece that the prefix cuts.
+A text splits at positions that no token crosses (see ``pieces``), so the count of a prefix is
+the count up to its last piece plus that of the piece's part, which ``pieces.PrefixCounts`` finds
+for all parts at once, from the last token of each. The table holds the exact count at every
+prefix of whole characters. It answers any prefix, truncation or budget question by itself:
+``prefix_count`` and ``fitting_bytes`` encode nothing. Counts can fall where a character
+completes a longer token.
 
 Nulls and empty texts: no tokens and empty tables. Null ids stay null; every row gives a row,
 repeated rows equal rows. Extra columns are ignored; an empty table gives an empty result.
+A table takes 4 bytes a byte of text; memory is that of ``CHUNK`` bytes of text or the longest text.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,36 +25,39 @@ from pyspark.sql import functions as F
 from loomline.llm import pieces
 from loomline.llm.common import buffers, configure, load, slices, table
 
-CHUNK = 8 << 20
-OUT = "doc_id long, n_bytes long, prefix_bytes array<int>, prefix_tokens array<int>"
+CHUNK = 1 << 20
+OUT = "doc_id long, n_bytes long, prefix_tokens array<int>"
 
 
 def count_prefixes(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, prefix_bytes, prefix_tokens): prefixes by their end, and tokens in each. model: a SentencePiece file."""
+    """(doc_id, n_bytes, prefix_tokens): tokens of the first 1, 2, 3 ... bytes, null inside a character. model: a SentencePiece BPE file with bytes to fall back to."""
     configure(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces.sentencepiece_encoder(model)
+        known = pieces.sentencepiece_prefixes(model)
         for batch in batches:
             data, offsets = buffers(batch.column("data"))
             for i, j in slices(offsets, CHUNK):
                 part, ends = data[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i]
                 at, drop = pieces.sentencepiece_cuts(part, ends)
                 number = pieces.encode_pieces(part, at, drop, known)
-                counts = known.bounds[number + 1] - known.bounds[number]
+                tokens = np.ones(len(part), np.int32)  # a piece's own space is one token until more follows
+                own = np.ones(len(part), bool)
+                own[at[drop]] = False
+                tokens[own] = pieces.gather(number, known.bounds, known.ids)[0]
+                inside = tokens < 0
+                stops = np.append(at[1:], len(part))[: len(at)]
+                total = np.concatenate(([0], np.cumsum(tokens[stops - 1])))
                 upto = np.searchsorted(at, ends)
-                total = np.concatenate(([0], np.cumsum(counts)))
                 begin = np.concatenate(([0], upto[:-1]))
-                per = upto - begin
-                tokens = total[1:] - np.repeat(total[begin], per)
-                stops = np.append(at[1:], len(part))[: len(at)] - np.repeat(np.concatenate(([0], ends[:-1])), per)
-                lists = pa.array(np.concatenate(([0], upto)).astype(np.int32))
+                before = total[:-1] - np.repeat(total[begin], upto - begin)
+                tokens += np.repeat(before, stops - at).astype(np.int32)
+                lists = pa.array(np.concatenate(([0], ends)).astype(np.int32))
                 yield table(
                     {
                         "doc_id": (batch.column("doc_id").slice(i, j - i), pa.int64()),
                         "n_bytes": (np.diff(np.concatenate(([0], ends))), pa.int64()),
-                        "prefix_bytes": (pa.ListArray.from_arrays(lists, pa.array(stops.astype(np.int32))), pa.list_(pa.int32())),
-                        "prefix_tokens": (pa.ListArray.from_arrays(lists, pa.array(tokens.astype(np.int32))), pa.list_(pa.int32())),
+                        "prefix_tokens": (pa.ListArray.from_arrays(lists, pa.array(tokens, mask=inside)), pa.list_(pa.int32())),
                     }
                 )
 
@@ -65,19 +70,15 @@ def total_tokens() -> Column:
 
 
 def fitting_bytes(budget: int) -> Column:
-    """The longest stored prefix with ``budget`` tokens at most, in bytes."""
-    n = F.size(F.filter("prefix_tokens", lambda x: x <= budget))
-    return F.when(n > 0, F.element_at("prefix_bytes", n)).otherwise(0)
-
-
-def prefix_count(text: bytes, prefix_bytes: list[int], prefix_tokens: list[int], end: int, model: str) -> int:
-    """Exact tokens of text[:end], encoding the cut piece only."""
-    encode = pieces.sentencepiece_encoder(model).encode
-    k = bisect_right(prefix_bytes, end)
-    done, start = (prefix_tokens[k - 1], prefix_bytes[k - 1]) if k else (0, 0)
-    rest = text[start:end]
-    piece = rest[1:] if k else rest
-    return done + (len(encode(piece, np.array([0, len(piece)]))[1]) if rest else 0)
+    """The longest prefix of whole characters with ``budget`` tokens at most, in bytes."""
+    ends = F.transform("prefix_tokens", lambda x, i: F.when(x <= budget, i + 1))
+    return F.coalesce(F.array_max(ends), F.lit(0))
+
+
+def prefix_count(end: int | Column) -> Column:
+    """Exact tokens of the first ``end`` bytes; null if they end inside a character or beyond the text."""
+    end = F.lit(end) if isinstance(end, int) else end
+    return F.when(end == 0, 0).when(end > 0, F.get("prefix_tokens", end - 1))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:

@@ -28,22 +28,41 @@ def test_counts_and_prefixes(spark):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
-    all_ = texts()
+    r = random.Random(8)
+    unbroken = "".join(r.choice("aeiourstnlöß日本語\U0001f600-_'1") for _ in range(400))
+    all_ = [*texts(), unbroken, "\x00\x01 \ue000x", "internationalisation"]
     docs = spark.createDataFrame(list(enumerate(all_)), "doc_id long, text string").withColumn("data", F.lit(1))
-    rows = count_prefixes(docs, PIECE).withColumn("n", total_tokens()).withColumn("fit", fitting_bytes(9)).collect()
+    ask = count_prefixes(docs, PIECE).withColumn("n", total_tokens()).withColumn("fit", fitting_bytes(9))
+    rows = ask.withColumn("third", prefix_count(3)).withColumn("none", prefix_count(0)).withColumn("past", prefix_count(F.col("n_bytes").cast("int") + 1)).collect()
     assert len(rows) == len(all_)
     for x in rows:
-        raw = (all_[x.doc_id] or "").encode()
-        assert (x.n_bytes, x.n) == (len(raw), len(model.encode(raw.decode())))
-        for end, count in zip(x.prefix_bytes, x.prefix_tokens):
-            assert count == len(model.encode(raw[:end].decode()))
-        for end in range(0, len(raw) + 1, 7):
-            whole = raw[:end].decode("utf-8", "ignore")
-            assert prefix_count(raw, x.prefix_bytes, x.prefix_tokens, len(whole.encode()), PIECE) == len(model.encode(whole))
-        assert x.fit == max([e for e, c in zip(x.prefix_bytes, x.prefix_tokens) if c <= 9], default=0)
+        text = all_[x.doc_id] or ""
+        raw = text.encode()
+        want, end = [None] * len(raw), 0
+        for k, c in enumerate(text):
+            end += len(c.encode())
+            want[end - 1] = len(model.encode(text[: k + 1]))
+        assert x.prefix_tokens == want
+        assert (x.n_bytes, x.n) == (len(raw), len(model.encode(text)))
+        assert x.fit == max([i + 1 for i, c in enumerate(want) if c is not None and c <= 9], default=0)
+        assert (x.none, x.past, x.third) == (0, None, want[2] if len(raw) > 2 else None)
     assert count_prefixes(docs.filter("doc_id < 0"), PIECE).count() == 0
 
 
+def test_long_unbroken_text(spark):
+    import sentencepiece
+
+    text = "".join(random.Random(4).choice("abcdeéstrn") for _ in range(300_000))
+    row = count_prefixes(spark.createDataFrame([(1, text)], "doc_id long, text string"), PIECE).select(total_tokens().alias("n"), prefix_count(100_001).alias("p"), "n_bytes").first()
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    assert (row.n, row.n_bytes) == (len(model.encode(text)), len(text.encode()))
+    head = text.encode()[:100_001]
+    try:
+        assert row.p == len(model.encode(head.decode()))
+    except UnicodeDecodeError:
+        assert row.p is None
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_files(spark, parts):
     from tokenizers import Tokenizer
