@@ -77,12 +77,22 @@ class Known:
         return found
 
 
+class Node:
+    """A suffix of the text so far that some token begins with: the tokens that end here, longest first, and what follows."""
+
+    __slots__ = ("text", "ends", "next")
+
+    def __init__(self, text: str, ends: list[tuple[int, str, dict[str, bool]]]):
+        self.text, self.ends, self.next = text, ends, {}
+
+
 class PrefixCounts:
     """Tokens of every prefix of a piece, by dynamic programming over its characters.
 
     A sequence of BPE tokens is the encoding of its text just if each two neighbours are the
     encoding of theirs. So the last token of a prefix is the one token ending there that fits the
-    last token of what is before it; the count is one more than there. A character that the model
+    last token of what is before it; the count is one more than there. An automaton of the tokens,
+    made as far as texts need it, gives those that end at a character. A character that the model
     lacks becomes its bytes and joins with nothing.
     """
 
@@ -92,36 +102,52 @@ class PrefixCounts:
         words = [model.id_to_piece(i) for i in plain]
         if SEAL in words or not any(model.is_byte(i) for i in range(model.get_piece_size())):
             raise ValueError("not a model that falls back to bytes")
-        self.model, self.fit = model, {}
+        self.model, self.pairs = model, 0
         self.skip = len(model.encode(SEAL))
-        self.tokens = {w for w, i, ids in zip(words, plain, model.encode([SEAL + w for w in words]), strict=True) if ids[self.skip :] == [i]}
-        self.longest = max(map(len, self.tokens))
-
-    def fits(self, a: str, b: str) -> bool:
-        known = self.fit.get((a, b))
-        if known is None:
-            if len(self.fit) > PAIRS:
-                self.fit.clear()
-            known = self.fit[a, b] = self.model.encode(SEAL + a + b, out_type=str)[self.skip :] == [a, b]
-        return known
+        #: tokens that encode to themselves, each with the tokens asked for before it: whether both stay as they are
+        self.tokens = {w: {} for w, i, ids in zip(words, plain, model.encode([SEAL + w for w in words]), strict=True) if ids[self.skip :] == [i]}
+        if any(c not in self.tokens for w in self.tokens for c in w):
+            raise ValueError("a token has a character that is no token")
+        self.heads = {w[:n] for w in self.tokens for n in range(len(w) + 1)}
+        self.nodes = {"": Node("", [])}
+
+    def step(self, node: Node, char: str) -> Node:
+        text = node.text + char
+        while text not in self.heads:
+            text = text[1:]
+        if text not in self.nodes:
+            ends = [(n, text[-n:], self.tokens[text[-n:]]) for n in range(len(text), 0, -1) if text[-n:] in self.tokens]
+            self.nodes[text] = Node(text, ends)
+        # other characters than the tokens' are too many to remember
+        if text:
+            node.next[char] = self.nodes[text]
+        return self.nodes[text]
+
+    def fits(self, a: str, b: str, known: dict[str, bool]) -> bool:
+        if self.pairs >= PAIRS:
+            self.pairs = 0
+            for x in self.tokens.values():
+                x.clear()
+        self.pairs += 1
+        known[a] = self.model.encode(SEAL + a + b, out_type=str)[self.skip :] == [a, b]
+        return known[a]
 
     def count(self, piece: str) -> list[int]:
         """Tokens of the first 0, 1, 2 ... characters of the piece, with the space mark that the model puts before it."""
-        text = "▁" + piece.replace(" ", "▁")
-        counts, last = [0], [""]
-        for k in range(1, len(text) + 1):
-            if text[k - 1] not in self.tokens:
-                counts.append(counts[-1] + len(text[k - 1].encode()))
-                last.append("")
-                continue
-            for m in range(min(k, self.longest), 0, -1):
-                token = text[k - m : k]
-                if token in self.tokens and (not last[k - m] or self.fits(last[k - m], token)):
-                    counts.append(counts[k - m] + 1)
+        counts, last, node = [0], [""], self.nodes[""]
+        for k, char in enumerate("▁" + piece.replace(" ", "▁"), 1):
+            node = node.next.get(char) or self.step(node, char)
+            for n, token, known in node.ends:
+                before = last[k - n]
+                if not before or (known[before] if before in known else self.fits(before, token, known)):
+                    counts.append(counts[k - n] + 1)
                     last.append(token)
                     break
             else:
-                raise ValueError(f"no last token for a prefix of {piece!r}")
+                if node.text:
+                    raise ValueError(f"no token ends a prefix of {piece!r}")
+                counts.append(counts[-1] + len(char.encode()))
+                last.append("")
         return counts[1:]
 
 
