@@ -2,16 +2,18 @@
 
 Document evidence: a logistic classifier on shape features and learned bad stems gives the log
 likelihood ratio of a good document (quality 1 and not toxic). It is fitted on at most
-``FIT_ROWS`` labelled rows, those with the smallest hashed ids; only their features and at most
-``STEMS`` stems reach the driver. A stem is a word, or its first 4, 5 or 6 letters; it is bad if
+``FIT_ROWS`` labelled rows, those with the smallest hashed ids, each with one document (of several with that id the one
+whose text has the smallest hash); only their features and at most ``STEMS`` stems reach the driver. A stem is a word, or its first 4, 5 or 6 letters; it is bad if
 labelled toxic documents have it at least ``RATIO`` times as often as others and more often
 than chance allows for that many stems.
 
 Sites: grouped sums of all documents' evidence give each host and each path a share of good
 documents. A host shrinks toward the global share and a path toward its host by beta priors,
 whose weights are estimated from the spread between sites (method of moments), so sparse
-sites stay near their parents. A document's posterior adds the log odds of its path, within
-``SITE_LIMIT``, to its own evidence: a site tips unclear documents and can't condemn clear ones.
+sites stay near their parents. A document is judged by the shares of the others: its own
+evidence is taken out of its path's, its host's and the global sums first, so that it counts once. Its
+posterior adds the log odds of that share, within ``site_limit`` (no limit: ``math.inf``), to its
+own evidence: a site tips unclear documents and can't condemn clear ones.
 
 Nulls and empty texts: neutral evidence, so the site decides. A null host or path is a site of
 its own. Labels may be null or repeat: rows that say neither good nor bad are left out. Without
@@ -126,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col("doc_id").alias("_id"), "quality", "toxic").filter(F.col("_id").isNotNull()).distinct()
     known = known.withColumn("good", F.when(toxic | (F.col("quality") == 0), 0).when((F.col("quality") == 1) & (F.col("toxic") == 0), 1))
     sample = known.filter("good IS NOT NULL").select("_id", "good", toxic.cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "good", "toxic").limit(FIT_ROWS)
-    rows = written(docs.select(F.col(id_col).alias("_id"), _text(text_col).alias("data")).join(F.broadcast(sample), "_id").drop("_id"), "labelled")
+    texts = docs.select(F.col(id_col).alias("_id"), _text(text_col).alias("data")).join(F.broadcast(sample), "_id")
+    one = texts.groupBy("_id", "good", "toxic").agg(F.min_by("data", F.xxhash64("data")).alias("data"))
+    rows = written(one.drop("_id"), "labelled")
 
     def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,20 +181,32 @@ def _prior_weight(sites: DataFrame, share: str, parent: str, n: str) -> float:
     return min(1e4, max(1.0, mean / max(spread - chance, 1e-6) - 1))
 
 
-def site_shares(scored: DataFrame) -> DataFrame:
-    """scored (host, path, p). (host, path, share): shares of good documents, shrunk global -> host -> path."""
+def site_sums(scored: DataFrame) -> DataFrame:
+    """scored (host, path, p). One row a path: sums and counts of p of the path, the host and all, and both prior weights."""
     paths = written(scored.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count(F.lit(1)).alias("n")), "paths")
-    total = paths.agg((F.sum("good") / F.nullif(F.sum("n"), F.lit(0))).alias("g")).first().g or 0.5
-    hosts = paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n")).withColumn("g", F.lit(float(total)))
-    hosts = hosts.withColumn("raw", F.col("host_good") / F.col("host_n"))
-    k = _prior_weight(hosts, "raw", "g", "host_n")
-    hosts = written(hosts.select("host", ((F.col("host_good") + k * F.col("g")) / (F.col("host_n") + k)).alias("host_share")), "hosts")
-    both = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"]).withColumn("raw", F.col("good") / F.col("n"))
-    k = _prior_weight(both, "raw", "host_share", "n")
-    return both.select("host", "path", ((F.col("good") + k * F.col("host_share")) / (F.col("n") + k)).alias("share"))
-
-
-def _judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str, text_col: str, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    total = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
+    hosts = paths.groupBy(F.col("host").alias("_of")).agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"))
+    hosts = hosts.withColumns({"all_good": F.lit(float(total.good or 0)), "all_n": F.lit(int(total.n or 0))})
+    g = F.lit(float(total.good / total.n) if total.n else 0.5)
+    k = _prior_weight(hosts.withColumns({"raw": F.col("host_good") / F.col("host_n"), "g": g}), "raw", "g", "host_n")
+    hosts = written(hosts.withColumn("host_weight", F.lit(k)), "hosts")
+    both = paths.join(hosts, paths["host"].eqNullSafe(hosts["_of"])).drop("_of")
+    host_share = (F.col("host_good") + k * g) / (F.col("host_n") + k)
+    k = _prior_weight(both.withColumns({"raw": F.col("good") / F.col("n"), "host_share": host_share}), "raw", "host_share", "n")
+    return both.withColumn("path_weight", F.lit(k))
+
+
+def share_without(p: Column) -> Column:
+    """The shrunk share of a path's good documents but one with p; without any other document 0.5 stands for the global share."""
+    n = F.col("all_n") - 1
+    share = F.when(n > 0, (F.col("all_good") - p) / n).otherwise(0.5)
+    for good, count, weight in (("host_good", "host_n", "host_weight"), ("good", "n", "path_weight")):
+        share = (F.col(good) - p + F.col(weight) * share) / (F.col(count) - 1 + F.col(weight))
+    # sums of floating numbers may leave a trace when p is taken out
+    return F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), share))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str, text_col: str, keep: list[str], site_limit: float) -> tuple[DataFrame, dict[str, str]]:
     """The columns ``keep`` of docs under safe names with _evidence, _share, _posterior. Names: original -> safe.
 
     Evidence is computed once and written; texts aren't shuffled.
@@ -201,25 +217,27 @@ def _judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_c
     safe = docs.select(*[F.col(f"`{x}`").alias(y) for x, y in at.items()], host.cast("string").alias("_host"), path.cast("string").alias("_path"))
     scored = safe.withColumn("_evidence", evidence(_text(at[text_col]), weights, bad))
     scored = written(scored.select(*[at[x] for x in keep], "_host", "_path", "_evidence"), "evidence")
-    shares = written(site_shares(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), (1 / (1 + F.exp(-F.col("_evidence")))).alias("p"))), "shares")
-    few = shares.count() <= FEW
-    joined = scored.join(F.broadcast(shares) if few else shares, scored["_host"].eqNullSafe(shares["host"]) & scored["_path"].eqNullSafe(shares["path"]))
+    p = 1 / (1 + F.exp(-F.col("_evidence")))
+    sums = written(site_sums(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), p.alias("p"))), "sites")
+    few = sums.count() <= FEW
+    joined = scored.join(F.broadcast(sums) if few else sums, scored["_host"].eqNullSafe(sums["host"]) & scored["_path"].eqNullSafe(sums["path"]))
+    joined = joined.withColumn("_share", share_without(p))
     # without labels of both kinds there is nothing to judge by
-    odds = F.log(F.col("share") / (1 - F.col("share"))) if any(weights) else F.lit(SITE_LIMIT)
+    odds = F.log(F.col("_share") / (1 - F.col("_share"))) if any(weights) else F.lit(1.0)
     at = {x: at[x] for x in keep}
-    site = F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), odds))
-    return joined.withColumn("_share", F.col("share")).withColumn("_posterior", 1 / (1 + F.exp(-(F.col("_evidence") + site)))), at
+    site = F.greatest(F.lit(-site_limit), F.least(F.lit(site_limit), odds))
+    return joined.withColumn("_posterior", 1 / (1 + F.exp(-(F.col("_evidence") + site)))), at
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", site_limit: float = SITE_LIMIT) -> DataFrame:
     """(doc_id, evidence, site_share, posterior, kept)."""
-    judged, at = _judged(docs, labels, host, path, id_col, text_col, [id_col])
+    judged, at = _judged(docs, labels, host, path, id_col, text_col, [id_col], site_limit)
     return judged.select(F.col(at[id_col]).alias(id_col), F.col("_evidence").alias("evidence"), F.col("_share").alias("site_share"), F.col("_posterior").alias("posterior"), (F.col("_posterior") >= KEEP).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", site_limit: float = SITE_LIMIT) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    judged, at = _judged(docs, labels, host, path, id_col, text_col, docs.columns)
+    judged, at = _judged(docs, labels, host, path, id_col, text_col, docs.columns, site_limit)
     return judged.filter(F.col("_posterior") >= KEEP).select(*[F.col(y).alias(x) for x, y in at.items()])
 
 
