@@ -18,7 +18,7 @@ NULL_ID = -(1 << 63)
 
 
 def configure(spark: SparkSession) -> None:
-    """Session settings the operators count on; what the session sets itself stays."""
+    """Sets what the operators count on, in place of the session's own values: Arrow batches bound the workers' memory."""
     for key, value in {
         # A finished write needs its shuffle files no more; else they pile up until the driver's garbage goes.
         "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
@@ -29,9 +29,11 @@ def configure(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; a local one only where it is unset."""
+    """A new path in the folder that ``spark.checkpoint.dir`` names; a local one only where that is unset and the master is local."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder: executors need a shared one")
         top = "file://" + os.path.join(tempfile.gettempdir(), f"loomline-{os.getuid()}")
     return f"{top.rstrip('/')}/loomline/{name}-{uuid.uuid4().hex}"
 

@@ -3,7 +3,8 @@
 Only suffixes that can repeat are sorted: those under a winnowed anchor (``SEED`` bytes) with
 several contexts, each context once; equal contexts collapse before (see ``repeats``). The
 contexts are dealt by range of the suffix that begins at the anchor, so by its leading
-tokens, with splitters that Spark samples. Each bucket sorts the suffixes of its windows by
+tokens, with splitters that Spark samples for at most ``RANGES`` ranges. Spark sorts a range's contexts
+and a task streams them in buckets of ``BUCKET``, so that equal suffixes in any number don't meet in memory. Each bucket sorts the suffixes of its windows by
 multikey quicksort on 8-byte words: ties of one word go on to the next, single ones drop out.
 A leading seed that several buckets hold is at the edge of each of them; its contexts are also
 compared across boundaries: dealt by the bytes that all windows of a narrow band of offsets
@@ -35,12 +36,14 @@ from loomline.llm import repeats
 from loomline.llm.common import buffers, configure, emit, keyed, load, restored, slices, table, written
 
 WINDOW, SEED = 100, 24
-#: Contexts that a bucket takes; about 150 bytes each.
-BUCKET = 30_000
+#: Contexts that a bucket takes (about 150 bytes each), and ranges at most: 100 of a range's suffixes go to the driver.
+BUCKET, RANGES = 30_000, 4096
 CONTEXT = "suffix binary, left binary, doc long, ord long, meta long"
 SORTED = "doc long, ord long, meta long, edge binary"
 #: Offsets of the anchor in its window that a band has.
 BAND = 17
+#: Seeds at bucket edges up to this many are broadcast (24 bytes each); beyond, they are joined by a shuffle.
+FEW = 100_000
 OUT = "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
@@ -123,17 +126,39 @@ def _bucket(suffix: pa.Array, left: pa.Array, doc: np.ndarray, ord_: np.ndarray,
     return table({"doc": (doc[r], pa.int64()), "ord": (ord_[r], pa.int64()), "meta": (removed, pa.int64()), "edge": (pa.nulls(len(r), pa.binary()), pa.binary())})
 
 
-def _sorted(contexts: DataFrame, window: int, seed: int) -> DataFrame:
-    """(doc, meta, edge) of each partition of contexts: windows removed; with edge, its first and last seeds and number."""
+def _buckets(batches: Iterator[pa.RecordBatch], size: int, whole: str | None) -> Iterator[pa.Table]:
+    """The rows in buckets of ``size``, in their order; with ``whole``, more where a run of equal values of that column goes on."""
+    held, rows, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cuts = np.arange(batch.num_rows)
+        if whole:
+            keys = batch.column(whole).to_pylist()
+            cuts = np.array([i for i, (x, y) in enumerate(zip(keys, [last, *keys], strict=False)) if x != y], np.int64)
+            last = keys[-1]
+        start = 0
+        while (k := int(np.searchsorted(cuts, start + max(0, size - rows)))) < len(cuts):
+            held.append(batch.slice(start, int(cuts[k]) - start))
+            if rows + held[-1].num_rows:
+                yield pa.Table.from_batches(held)
+            held, rows, start = [], 0, int(cuts[k])
+        held.append(batch.slice(start))
+        rows += batch.num_rows - start
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _sorted(contexts: DataFrame, window: int, seed: int, bucket: int, whole: str | None = None) -> DataFrame:
+    """(doc, meta, edge) of each bucket of contexts: windows removed; with edge, its first and last seeds and number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            t = pa.Table.from_batches(held).combine_chunks()
+        first = TaskContext.get().partitionId() << 40
+        for number, t in enumerate(_buckets(batches, bucket, whole), first):
             suffix = t["suffix"].combine_chunks()
             yield from emit(_bucket(suffix, t["left"].combine_chunks(), t["doc"].to_numpy(), t["ord"].to_numpy(), t["meta"].to_numpy(), window))
             seeds = [x[:seed] for x in suffix.to_pylist()]
-            yield table({"doc": ([TaskContext.get().partitionId()] * 2, pa.int64()), "ord": ([0, 0], pa.int64()), "meta": ([0, 0], pa.int64()), "edge": ([min(seeds), max(seeds)], pa.binary())})
+            yield table({"doc": ([number] * 2, pa.int64()), "ord": ([0, 0], pa.int64()), "meta": ([0, 0], pa.int64()), "edge": ([min(seeds), max(seeds)], pa.binary())})
 
     return contexts.mapInArrow(run, SORTED)
 
@@ -203,7 +228,7 @@ def _apply(joined: DataFrame, window: int) -> DataFrame:
     return joined.select("doc", "data", "cuts").mapInArrow(run, OUT)
 
 
-def remove_suffix_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
+def remove_suffix_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, bucket: int = BUCKET, ranges: int = RANGES, few_edges: int = FEW) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256): bytes left after every repeat but the first is cut.
 
     ``kept`` is binary: a cut may fall inside a UTF-8 character.
@@ -216,11 +241,14 @@ def remove_suffix_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str
     buckets = max(1, math.ceil(compare.count() / bucket))
     close = compare.groupBy("doc", "ord").agg(F.collect_list("meta").alias("metas"))
     contexts = written(_contexts(base.join(close, ["doc", "ord"]), window), "contexts")
-    done = written(_sorted(contexts.repartitionByRange(buckets, "suffix"), window, seed), "buckets")
-    # two rows a bucket, so no more seeds than buckets
+    ranged = contexts.repartitionByRange(min(buckets, ranges), "suffix").sortWithinPartitions("suffix")
+    done = written(_sorted(ranged, window, seed, bucket), "buckets")
     edges = done.filter("edge IS NOT NULL").groupBy("edge").agg(F.count_distinct("doc").alias("n")).filter("n > 1").select("edge")
-    cut = contexts.join(F.broadcast(edges), F.substring("suffix", 1, seed) == F.col("edge"), "left_semi")
-    again = _sorted(_bands(cut, window, seed).repartition(2 * buckets, "core").drop("core"), window, seed)
+    edges = written(edges, "edges")
+    few = edges.count() <= few_edges
+    cut = contexts.join(F.broadcast(edges) if few else edges, F.substring("suffix", 1, seed) == F.col("edge"), "left_semi")
+    banded = _bands(cut, window, seed).repartition(min(2 * buckets, ranges), "core").sortWithinPartitions("core")
+    again = _sorted(banded, window, seed, bucket, "core")
     gone = F.col("kind") == repeats.GONE
     parts = [x.filter(gone) for x in (rows, found)] + [x.filter("edge IS NULL") for x in (done, again)]
     removed = repeats.gathered(reduce(DataFrame.unionByName, (x.select("doc", "ord", "meta") for x in parts)))

@@ -4,10 +4,11 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from loomline.llm.substring import remove_repeats
-from loomline.llm.suffixes import remove_suffix_repeats
+from loomline.llm.suffixes import _buckets, remove_suffix_repeats
 
 
 def brute_words(docs, window):
@@ -69,13 +70,33 @@ def test_words(spark, seed, window):
     assert {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in got} == brute_words(docs, window)
 
 
-@pytest.mark.parametrize("seed,window,bucket", [(1, 100, 30_000), (2, 100, 20), (3, 40, 15)])
-def test_bytes(spark, seed, window, bucket):
+@pytest.mark.parametrize("seed,window,bucket,ranges,few", [(1, 100, 30_000, 4096, 100_000), (2, 100, 20, 4096, 100_000), (3, 40, 15, 2, 0)])
+def test_bytes(spark, seed, window, bucket, ranges, few):
     docs = corpus(seed)
-    got = remove_suffix_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), window=window, seed=12, bucket=bucket).collect()
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = remove_suffix_repeats(frame, window=window, seed=12, bucket=bucket, ranges=ranges, few_edges=few).collect()
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == brute_bytes(docs, window)
 
 
+@pytest.mark.parametrize("bucket", [7, 64])
+def test_one_passage_in_every_document(spark, bucket):
+    r = random.Random(6)
+    noise = lambda k: " ".join(str(r.randint(0, 9999)) for _ in range(k))
+    passage = noise(40)
+    docs = [(d, f"{noise(r.randint(1, 30))} {passage}{' ' + noise(5) if d % 3 else ''}") for d in range(150)]
+    got = remove_suffix_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), bucket=bucket, ranges=3).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == brute_bytes(docs, 100)
+
+
+def test_buckets():
+    keys = [b"a", b"a", b"b", b"b", b"b", b"b", b"c", b"d", b"d"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i:j], pa.binary())], names=["k"]) for i, j in ((0, 3), (3, 3), (3, 4), (4, 9))]
+    assert [x["k"].to_pylist() for x in _buckets(iter(batches), 4, None)] == [keys[0:4], keys[4:8], keys[8:]]
+    assert [x["k"].to_pylist() for x in _buckets(iter(batches), 1, "k")] == [keys[0:2], keys[2:6], keys[6:7], keys[7:]]
+    assert [x["k"].to_pylist() for x in _buckets(iter(batches), 3, "k")] == [keys[0:6], keys[6:]]
+    assert list(_buckets(iter(batches[1:2]), 3, "k")) == []
+
+
 def test_odd_rows(spark):
     long = " ".join(f"v{i}" for i in range(30))
     rows = [(None, long, "s"), (1, long, None), (1, long, None), (1, long + " z", "h"), (2, None, "h")]
