@@ -61,6 +61,11 @@ class Plan(retail.Retail):
     def vectors(self) -> DataFrame:
         return recall.content_vectors(self.articles).persist()
 
+    @cached_property
+    def content_classes(self) -> tuple[DataFrame, DataFrame]:
+        members, kinds = recall.content_classes(self.articles)
+        return members.persist(), kinds.persist()
+
     def channel(self, name: str) -> DataFrame:
         h, k = self.user_history, PER_CHANNEL
         builders = {
@@ -71,7 +76,7 @@ class Plan(retail.Retail):
             "item2item": lambda: recall.recall_item2item(h, recall.item_neighbours(self.past, "cosine_iuf"), k),
             "repurchase": lambda: recall.recall_repurchase(self.past.join(self.target_users, "user_id", "left_semi"), F.lit(self.bounds.train_end), k),
             "style": lambda: recall.recall_style(h, recall.style_siblings(self.past, self.articles), k),
-            "content": lambda: recall.recall_content(self.target_users, h, self.vectors, self.popular, k),
+            "content": lambda: recall.recall_classes(self.target_users, h, *self.content_classes, self.popular, k),
         }
         return recall.registry((name,), builders)[name]
 
