@@ -55,7 +55,7 @@ class Plan(retail.Retail):
 
     @cached_property
     def buckets(self) -> DataFrame:
-        return recall.segment_lists(self.past, self.articles, recall.CATEGORY_FIELDS, recall.BUCKET_TOP)
+        return recall.segment_lists(self.past, self.articles, recall.CATEGORY_FIELDS, recall.BUCKET_TOP).persist()
 
     @cached_property
     def vectors(self) -> DataFrame:
