@@ -72,8 +72,14 @@ def pack_codes(codes: list[int], resets: list[int]) -> bytes:
     at = np.array(resets[1:], int)
     width[at] = _WIDTHS[np.minimum(number[at - 1] + 1, MOST - 1)]
     width[0] = 9
-    bits = (c[:, None] >> np.arange(12)) & 1
-    return np.packbits(bits.astype(bool)[np.arange(12) < width[:, None]], bitorder="little").tobytes()
+    # a code lies in three bytes at most; bits of different codes are apart, so that bytes add up without a carry
+    ends = np.cumsum(width)
+    at = ends - width
+    c <<= at & 7
+    at >>= 3
+    size = int(ends[-1] + 7) >> 3
+    raw = sum(np.bincount(at + j, c >> 8 * j & 255, size + 2) for j in range(3))
+    return raw[:size].astype(np.uint8).tobytes()
 
 
 def lzw_decode(raw: bytes, least: int, count: int) -> bytes:
@@ -153,6 +159,7 @@ class Frame:
     transparent: int | None
     samples: bytes
     canvas: np.ndarray  # RGBA as shown
+    colours: np.ndarray | None = None  # of a frame that alone is shown, its palette
 
 
 def decode(raw: bytes) -> list[Frame]:
@@ -217,10 +224,18 @@ def _frames(raw: bytes) -> Iterator[Frame]:
         before = canvas.copy() if disposal == 3 else None
         area = canvas[top : top + h, left : left + w]
         shown = index[: area.shape[0], : area.shape[1]]
-        drawn = np.ones(shown.shape, bool) if clear is None else shown != clear
-        area[drawn, :3] = colours[np.minimum(shown, len(colours) - 1)][drawn]
-        area[drawn, 3] = 255
-        yield Frame(left, top, w, h, 10 * delay, disposal, clear, index.tobytes(), canvas.copy())
+        whole = clear is None and shown.shape == canvas.shape[:2] and index.shape == shown.shape
+        if clear is None:
+            # four bytes a pixel in one gather
+            rgba = np.full((256, 4), 255, np.uint8)
+            rgba[: len(colours), :3] = colours
+            rgba[len(colours) :, :3] = colours[-1]
+            canvas.view(np.uint32)[top : top + h, left : left + w, 0] = rgba.view(np.uint32)[:, 0][shown]
+        else:
+            drawn = shown != clear
+            area[drawn, :3] = colours[np.minimum(shown, len(colours) - 1)][drawn]
+            area[drawn, 3] = 255
+        yield Frame(left, top, w, h, 10 * delay, disposal, clear, index.tobytes(), canvas.copy(), rgba[:, :3] if whole else None)
         if disposal == 2:
             area[:] = 0
         elif before is not None:
@@ -232,6 +247,11 @@ def histogram(frames: list[Frame]) -> np.ndarray:
     """Counts by channel (red, green, blue) and bin of all opaque pixels of the composed frames."""
     out = np.zeros((3, BINS), np.int64)
     for f in frames:
+        if f.colours is not None:
+            counts = np.bincount(np.frombuffer(f.samples, np.uint8), minlength=256)
+            for k in range(3):
+                out[k] += np.bincount(f.colours[:, k] >> 5, counts, BINS).astype(np.int64)
+            continue
         shown = f.canvas[f.canvas[:, :, 3] > 0]
         for k in range(3):
             out[k] += np.bincount(shown[:, k] >> 5, minlength=BINS)

@@ -84,3 +84,18 @@ def test_query(spark, tmp_path):
     p = b"abc" + bytes(61)
     assert (got[1].n_bytes, got[1].payload_bytes, got[1].payload_sha256, got[1].tail_crc32) == (3, 64, hashlib.sha256(p).hexdigest(), zlib.crc32(p))
     assert got[2].feature.startswith("frames=1;red=64,0,") and got[2].n_bytes == 0
+
+
+def test_whole_frames_are_counted_by_index():
+    """Frames that are shown alone are counted by palette index; the counts are those of their pixels."""
+    import dataclasses
+    import random
+
+    from loomline.llm import gif
+
+    r = random.Random(8)
+    for n in (1, 3, 1024, 1500):
+        frames = gif.decode(gif.encode(bytes(r.choice(b"abc \xff\x00") for _ in range(64 * n))))
+        # the last frame may be lower than the canvas
+        assert [f.colours is not None for f in frames] == [f.canvas.shape[:2] == (f.height, f.width) for f in frames]
+        assert (gif.histogram(frames) == gif.histogram([dataclasses.replace(f, colours=None) for f in frames])).all()
