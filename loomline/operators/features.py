@@ -100,11 +100,11 @@ def enriched(events: DataFrame, articles: DataFrame, bands: tuple[float, float])
     return out.withColumn("is_repeat", F.col("date") > first("item_id")).withColumn("is_style_repeat", (F.col("style") != "") & (F.col("date") > first("style")))
 
 
-def user_features(rich: DataFrame, specs: DataFrame, windows: tuple[int, ...] = USER_WINDOWS) -> DataFrame:
+def user_features(rich: DataFrame, specs: DataFrame, windows: tuple[int, ...] = USER_WINDOWS, entropies: bool = True) -> DataFrame:
     """One row a user and snapshot with history: recency, gaps, and 14 measures for each window of days.
 
     Events meet the snapshots once; all windows are conditional sums of one pass, and the
-    entropies come from sums by attribute value: ln(total) - sum(q ln q) / total.
+    entropies come from sums by attribute value: ln(total) - sum(q ln q) / total. Without them events aren't repeated by attribute.
     """
     past = rich.join(F.broadcast(specs.select("as_of_date")), F.col("date") <= F.col("as_of_date")).withColumn("age", F.date_diff("as_of_date", "date"))
     q, spent = F.col("quantity"), F.col("mean_price") * F.col("quantity")
@@ -127,10 +127,12 @@ def user_features(rich: DataFrame, specs: DataFrame, windows: tuple[int, ...] =
         ]
     key = ["user_id", "as_of_date"]
     base = past.groupBy(*key).agg(*sums)
-    attributes = ("department", "colour", "price_band")
-    melted = past.select(*key, "age", "quantity", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.col(a).alias("v")) for a in attributes])).alias("x")).select(*key, "age", "quantity", "x.a", "x.v")
-    by_value = melted.groupBy(*key, "a", "v").agg(*[F.sum(F.when(F.col("age") < n, q)).alias(f"n_{n}") for n in windows])
-    logs = by_value.groupBy(*key).agg(*[F.sum(F.when(F.col("a") == a, F.col(f"n_{n}") * F.log(F.col(f"n_{n}").cast("double")))).alias(f"log_{a}_{n}") for a in attributes for n in windows])
+    attributes = ("department", "colour", "price_band") if entropies else ()
+    if entropies:
+        melted = past.select(*key, "age", "quantity", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.col(a).alias("v")) for a in attributes])).alias("x")).select(*key, "age", "quantity", "x.a", "x.v")
+        by_value = melted.groupBy(*key, "a", "v").agg(*[F.sum(F.when(F.col("age") < n, q)).alias(f"n_{n}") for n in windows])
+        logs = by_value.groupBy(*key).agg(*[F.sum(F.when(F.col("a") == a, F.col(f"n_{n}") * F.log(F.col(f"n_{n}").cast("double")))).alias(f"log_{a}_{n}") for a in attributes for n in windows])
+        base = base.join(logs, key)
     share = lambda c, n: F.when(F.col(f"q_{n}") > 0, F.round(F.col(c) / F.nullif(F.col(f"q_{n}"), F.lit(0)), 6)).otherwise(0.0)
     out = [F.col("recency_days").cast("long").alias("recency_days"), F.when(F.col("days") > 1, F.round(F.date_diff("d1", "d0") / F.nullif(F.col("days") - 1, F.lit(0)), 6)).otherwise(0.0).alias("avg_gap_days")]
     for n in windows:
@@ -149,7 +151,7 @@ def user_features(rich: DataFrame, specs: DataFrame, windows: tuple[int, ...] =
             F.when(F.col(f"q_{n}") > 0, F.round(1 - F.col(f"repeat_{n}") / F.nullif(F.col(f"q_{n}"), F.lit(0)), 6)).otherwise(0.0).alias(f"new_item_rate_{n}d"),
             share(f"style_{n}", n).alias(f"same_style_rate_{n}d"),
         ]
-    return base.join(logs, key).select(*key, *out)
+    return base.select(*key, *out)
 
 
 def cross_features(pairs: DataFrame, rich: DataFrame, articles: DataFrame, cohorts: DataFrame) -> DataFrame:

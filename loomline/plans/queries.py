@@ -536,7 +536,7 @@ def user_features_pit(p: Plan) -> DataFrame:
 @query(f"SELECT user_id, as_of_date, {', '.join(f'repeat_rate_{n}d, new_item_rate_{n}d, same_style_rate_{n}d' for n in (28, 365))} FROM uf", pit=_PIT, uf=user_sql())
 def repeat_rates(p: Plan) -> DataFrame:
     names = [f"{x}_{n}d" for n in (28, 365) for x in ("repeat_rate", "new_item_rate", "same_style_rate")]
-    return features.user_features(p.rich, p.specs, (28, 365)).select("user_id", "as_of_date", *names)
+    return features.user_features(p.rich, p.specs, (28, 365), entropies=False).select("user_id", "as_of_date", *names)
 
 
 @query(f"SELECT user_id, as_of_date, {', '.join(f'{a}_entropy_{n}d' for a in ('department', 'colour', 'price_band') for n in (84, 365))} FROM uf", pit=_PIT, uf=user_sql())

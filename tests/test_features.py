@@ -75,3 +75,11 @@ def test_catalogues(spark, cat):
     assert (users["a"].age_bucket, users["a"].FN, users["a"].Active, users["a"].postal_code_freq_bucket, users["a"].fashion_news_frequency_missing) == ("25_34", 1.0, 0.0, "rare", 1.0)
     assert (users["b"].age_missing, users["b"].postal_code, users["b"].postal_code_missing) == (1.0, "unknown", 1.0)
     assert users["z"].is_unknown_customer == 1.0 and users["z"].age_bucket == "unknown" and users["z"].age_missing == 1.0
+
+
+def test_rates_without_entropies(spark, cat):
+    """The same columns, and events aren't repeated by attribute."""
+    r, at = rich(spark, ROWS, cat), specs(spark, "09-15")
+    whole, rates = features.user_features(r, at, (28,)), features.user_features(r, at, (28,), entropies=False)
+    assert [tuple(x) for x in whole.select(*rates.columns).collect()] == [tuple(x) for x in rates.collect()]
+    assert "Generate" not in rates._jdf.queryExecution().optimizedPlan().toString() and not [c for c in rates.columns if "entropy" in c]
