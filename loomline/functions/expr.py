@@ -41,9 +41,12 @@ def user_id(c: Column) -> Column:
 
 
 def category(c: Column) -> Column:
-    """Token of a category name: white space and slashes to single underscores, missing to unknown."""
+    """Token of a category name: white space and slashes to single underscores, missing to unknown. Names that are their own token need no pattern."""
+    name = c.cast("string")
+    plain = (F.translate(name, " \t\n\x0b\f\r/\\", "") == name) & ~F.contains(name, F.lit("__")) & ~F.startswith(name, F.lit("_")) & ~F.endswith(name, F.lit("_"))
+    bare = F.when(F.lower(name).isin(*_BLANK), UNKNOWN).otherwise(name)
     token = F.regexp_replace(F.regexp_replace(F.regexp_replace(strip(c), "[\\s/\\\\]+", "_"), "_+", "_"), "^_+|_+$", "")
-    return F.when(present(c) & (token != ""), token).otherwise(UNKNOWN)
+    return F.when(plain, bare).otherwise(F.when(present(c) & (token != ""), token).otherwise(UNKNOWN))
 
 
 def text(c: Column) -> Column:

@@ -49,13 +49,27 @@ class Plan(retail.Retail):
     def tiers(self) -> DataFrame:
         return ranking.tiers(self.target_users, self.user_history)
 
+    @cached_property
+    def popularity(self) -> DataFrame:
+        return recall.window_popularity(self.past).persist()
+
     @cached_property
     def popular(self) -> DataFrame:
-        return recall.popular_lists(self.past, PER_CHANNEL).persist()
+        return recall.top(self.popularity, [], PER_CHANNEL).persist()
+
+    @cached_property
+    def sequences(self) -> DataFrame:
+        """Users' items of the last weeks, which two channels read several times."""
+        return recall.sequences(self.past).persist()
+
+    @cached_property
+    def tags(self) -> DataFrame:
+        """Articles' category tokens, made once, after the articles' single file is dealt out."""
+        return self.articles.repartition("item_id").select("item_id", *[expr.category(F.col(c)).alias(c) for c in recall.CATEGORY_FIELDS]).persist()
 
     @cached_property
     def buckets(self) -> DataFrame:
-        return recall.segment_lists(self.past, self.articles, recall.CATEGORY_FIELDS, recall.BUCKET_TOP).persist()
+        return recall.segment_lists(self.past, self.tags, recall.CATEGORY_FIELDS, recall.BUCKET_TOP).persist()
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -63,19 +77,19 @@ class Plan(retail.Retail):
 
     @cached_property
     def content_classes(self) -> tuple[DataFrame, DataFrame]:
-        members, kinds = recall.content_classes(self.articles)
+        members, kinds = recall.content_classes(self.articles.repartition("item_id"))  # its single file is dealt out before texts are hashed
         return members.persist(), kinds.persist()
 
     def channel(self, name: str) -> DataFrame:
         h, k = self.user_history, PER_CHANNEL
         builders = {
             # stands in for an external sequence model: transitions between neighbouring purchases
-            "sequence": lambda: recall.recall_item2item(h, recall.item_neighbours(self.past, "sequential"), k),
+            "sequence": lambda: recall.recall_item2item(h, recall.neighbours(self.sequences, "sequential"), k),
             "popular": lambda: recall.recall_popular(self.target_users, h, self.popular, recall.cohort_lists(self.past, self.cohorts, k), self.cohorts, k),
-            "category_popular": lambda: recall.recall_category(h, self.articles, self.buckets, k),
-            "item2item": lambda: recall.recall_item2item(h, recall.item_neighbours(self.past, "cosine_iuf"), k),
+            "category_popular": lambda: recall.recall_category(h, self.tags, self.buckets, k),
+            "item2item": lambda: recall.recall_item2item(h, recall.neighbours(self.sequences, "cosine_iuf"), k),
             "repurchase": lambda: recall.recall_repurchase(self.past.join(self.target_users, "user_id", "left_semi"), F.lit(self.bounds.train_end), k),
-            "style": lambda: recall.recall_style(h, recall.style_siblings(self.past, self.articles), k),
+            "style": lambda: recall.recall_style(h, recall.popular_siblings(self.popularity, self.articles), k),
             "content": lambda: recall.recall_classes(self.target_users, h, *self.content_classes, self.popular, k),
         }
         return recall.registry((name,), builders)[name]
@@ -87,7 +101,7 @@ class Plan(retail.Retail):
 
     @cached_property
     def union(self) -> DataFrame:
-        return ranking.union_candidates(self.candidates, UNION)
+        return ranking.union_candidates(self.candidates, UNION, dealt=True)
 
     @cached_property
     def weights(self) -> DataFrame:
@@ -112,7 +126,7 @@ class Plan(retail.Retail):
 
     @cached_property
     def ranking_rows(self) -> DataFrame:
-        rows = ranking.union_evidence(self.candidates, CHANNELS, UNION).join(self.tiers.select("user_id", "history_len"), "user_id")
+        rows = ranking.union_evidence(self.candidates, CHANNELS, UNION, dealt=True).join(self.tiers.select("user_id", "history_len"), "user_id")
         day = F.lit(self.bounds.train_end)
         return rows.withColumn("snapshot_date", day).withColumn("group_id", expr.group_id(F.col("user_id"), F.col("snapshot_date")))
 
@@ -359,7 +373,7 @@ _EVID = f"SELECT user_id, item_id, split, count(*) AS channel_count, min(rank) A
 
 @query(_EVID)
 def union_evidence(p: Plan) -> DataFrame:
-    return ranking.union_evidence(p.candidates, CHANNELS, UNION)
+    return ranking.union_evidence(p.candidates, CHANNELS, UNION, dealt=True)
 
 
 # ---- fusion and metrics

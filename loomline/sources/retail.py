@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.operators import history
+from loomline.operators.recall import by_user
 
 #: Weeks of history, validation and test: long enough that every tier has users.
 TRAIN_WEEKS, VALID_WEEKS, TEST_WEEKS = 104, 4, 4
@@ -71,6 +73,18 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def last_day(orders: DataFrame, lines: DataFrame, few: int = 100_000) -> date | None:
+    """The last day of an order with lines. The newest days' orders are looked for among the lines; only if none has any, or there are more than ``few``, are all joined."""
+    days = orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    key = lines.select(F.col("l_orderkey").alias("o_orderkey"))
+    newest = days.agg(F.max("day")).first()[0]
+    if newest is None:
+        return None
+    some = days.filter(F.col("day") >= F.lit(newest - timedelta(days=6)))
+    last = key.join(F.broadcast(some), "o_orderkey").agg(F.max("day")).first()[0] if some.limit(few + 1).count() <= few else None
+    return last or days.join(key, "o_orderkey", "left_semi").agg(F.max("day")).first()[0]
+
+
 class Retail:
     """Tables of one directory and the split dates, which are the only values on the driver."""
 
@@ -96,7 +110,7 @@ class Retail:
     @cached_property
     def bounds(self) -> history.SplitBounds:
         if self.source is transactions:  # the orders table has the dates; no join for one value
-            last = read(self.spark, self.sf_dir, "orders").join(read(self.spark, self.sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").agg(F.max("o_orderdate").cast("date")).first()[0]
+            last = last_day(read(self.spark, self.sf_dir, "orders"), read(self.spark, self.sf_dir, "lineitem"))
         else:
             last = self.tx.agg(F.max("date")).first()[0]
         return history.split_bounds(last, *self.weeks)
@@ -107,15 +121,22 @@ class Retail:
         b = self.bounds
         return self.tx.filter(F.col("date").between(b.window_start, b.test_end)).select("user_id", "item_id", "date").distinct()
 
+    @cached_property
+    def known(self) -> DataFrame:
+        """Interactions up to the end of validation, each user's in one part; all channels and the targets read them, so they are kept."""
+        b = self.bounds
+        rows = self.tx.filter(F.col("date").between(b.window_start, b.valid_end)).select("user_id", "item_id", "date")
+        return by_user(rows).distinct().persist()
+
     @cached_property
     def past(self) -> DataFrame:
-        """Interactions up to the day before validation; all channels read them, so they are kept."""
-        return self.inter.filter(F.col("date") <= F.lit(self.bounds.train_end)).persist()
+        """Interactions up to the day before validation."""
+        return self.known.filter(F.col("date") <= F.lit(self.bounds.train_end))
 
     @cached_property
     def valid(self) -> DataFrame:
         b = self.bounds
-        return self.inter.filter(F.col("date").between(b.valid_start, b.valid_end))
+        return self.known.filter(F.col("date").between(b.valid_start, b.valid_end))
 
     @cached_property
     def targets(self) -> DataFrame:

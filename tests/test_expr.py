@@ -78,3 +78,9 @@ def test_files(spark, tmp_path):
     readers.write_by_day(dated, str(tmp_path / "d"))
     assert (tmp_path / "m" / "year_month=2020-09").is_dir() and (tmp_path / "d" / "as_of_date=2020-09-02").is_dir()
     assert profile.dataset_version({"b": 1, "a": 2}) == profile.dataset_version({"a": 2, "b": 1}) and len(profile.dataset_version({})) == 12
+
+
+def test_category_of_plain_and_other_names(spark):
+    names = ["Tee", "a b", " a", "a_b", "a__b", "_a", "a_", "a/b", "a\\b", "a\tb", "NaN", "none", "", " ", "_", "<NA>", None, "é x", "a b"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(expr.category(F.col("n")).alias("t")).collect()
+    assert [x.t for x in got] == ["Tee", "a_b", "a", "a_b", "a_b", "a", "a", "a_b", "a_b", "a_b", "unknown", "unknown", "unknown", "unknown", "unknown", "unknown", "unknown", "é_x", "a b"]

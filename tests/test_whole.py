@@ -58,3 +58,14 @@ def test_union_drops_no_item(spark, plan):
     assert want.groupBy("user_id").count().agg(F.max("count")).first()[0] > 100
     assert plans.QUERIES["candidate_union"](spark, SF).select(*items).distinct().count() == want.count()
     assert {x.k for x in plans.QUERIES["diag_union_recall"](spark, SF).select("k").distinct().collect()} == {100, 300, 500}
+
+
+def exchanged(df):
+    """Shuffles above what is kept."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0].count("hashpartitioning")
+
+
+@pytest.mark.parametrize("name", ["candidate_union", "union_evidence", "rrf_default"])
+def test_union_is_not_shuffled_again(spark, plan, name):
+    assert exchanged(plans.QUERIES[name](spark, SF)) == 0
