@@ -157,7 +157,6 @@ def user_features(rich: DataFrame, specs: DataFrame, windows: tuple[int, ...] =
 def cross_features(pairs: DataFrame, rich: DataFrame, articles: DataFrame, cohorts: DataFrame) -> DataFrame:
     """pairs (user_id, item_id, as_of_date): 24 measures of a user's history against an item, all up to that day."""
     meta = articles.select("item_id", F.coalesce(F.trim("product_code"), F.lit("")).alias("style"), *[expr.category(F.col(c)).alias(a) for c, a in (("department_name", "department"), ("colour_group_name", "colour"), ("product_type_name", "product_type"))])
-    days = pairs.select("as_of_date").distinct()
     rows = pairs.join(meta, "item_id").join(cohorts, "user_id", "left").withColumn("cohort", F.coalesce("cohort", F.lit(expr.UNKNOWN)))
     users = pairs.select("user_id", "as_of_date").distinct()
     past = rich.join(users, "user_id").filter(F.col("date") <= F.col("as_of_date"))
@@ -171,8 +170,9 @@ def cross_features(pairs: DataFrame, rich: DataFrame, articles: DataFrame, cohor
         name = "item" if level == "item_id" else level
         agg = past.filter(F.col(level) != "").groupBy(*key, level).agg(F.sum(q).alias(f"{name}_n"), F.max("date").alias(f"{name}_last"))
         rows = rows.join(agg, [*key, level], "left")
-    world = rich.join(F.broadcast(days), F.col("date") <= F.col("as_of_date")).join(pairs.select("item_id", "as_of_date").distinct(), ["item_id", "as_of_date"], "left_semi")
-    world = world.join(cohorts, "user_id", "left").withColumn("cohort", F.coalesce("cohort", F.lit(expr.UNKNOWN)))
+    # events meet the days of their own item: dealt by item once, and summed where they are
+    sold = rich.select("user_id", "item_id", "date", "quantity", "mean_price", "sales_channel_mode").join(cohorts, "user_id", "left").withColumn("cohort", F.coalesce("cohort", F.lit(expr.UNKNOWN))).drop("user_id")
+    world = sold.join(pairs.select("item_id", "as_of_date").distinct(), "item_id").filter(F.col("date") <= F.col("as_of_date"))
     age = F.date_diff("as_of_date", "date")
     counts = lambda kind: [F.sum(F.when(age < n, q)).alias(f"{kind}_{n}") for n in POPULARITY_WINDOWS]
     item = ["item_id", "as_of_date"]

@@ -69,3 +69,7 @@ def exchanged(df):
 @pytest.mark.parametrize("name", ["candidate_union", "union_evidence", "rrf_default"])
 def test_union_is_not_shuffled_again(spark, plan, name):
     assert exchanged(plans.QUERIES[name](spark, SF)) == 0
+
+
+def test_events_meet_their_own_items_only(spark, plan):
+    assert "NestedLoop" not in plans.QUERIES["cross_features"](spark, SF)._jdf.queryExecution().executedPlan().toString()
