@@ -88,14 +88,20 @@ def customer_features(customers: DataFrame, also: DataFrame | None = None) -> Da
     return out.unionByName(extra.select("user_id", *[value(n, k).alias(n) for n, k in out.dtypes if n != "user_id"]))
 
 
+#: Parts of the events for each shuffle partition of the session.
+PARTS = 4
+
+
 def enriched(events: DataFrame, articles: DataFrame, bands: tuple[float, float]) -> DataFrame:
     """Events with item attributes, price band, and whether item and style were bought on an earlier day.
 
-    The earlier purchase is a matter of the event alone, so no snapshot repeats it.
+    The earlier purchase is a matter of the event alone, so no snapshot repeats it. Rows are dealt by user into many small parts: sums by user
+    and snapshot then need no shuffle, and a part's groups fit in memory.
     """
     meta = articles.select("item_id", F.coalesce(F.trim("product_code"), F.lit("")).alias("style"), *[expr.category(F.col(c)).alias(a) for c, a in (("department_name", "department"), ("colour_group_name", "colour"), ("product_type_name", "product_type"))])
     out = events.join(meta, "item_id", "left").na.fill("", ["style"]).na.fill(expr.UNKNOWN, ["department", "colour", "product_type"])
     out = out.withColumn("price_band", expr.price_band(F.col("mean_price"), *bands))
+    out = out.repartition(PARTS * int(out.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
     first = lambda *keys: F.min("date").over(Window.partitionBy("user_id", *keys))
     return out.withColumn("is_repeat", F.col("date") > first("item_id")).withColumn("is_style_repeat", (F.col("style") != "") & (F.col("date") > first("style")))
 

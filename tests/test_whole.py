@@ -71,5 +71,9 @@ def test_union_is_not_shuffled_again(spark, plan, name):
     assert exchanged(plans.QUERIES[name](spark, SF)) == 0
 
 
+def test_entropies_stay_with_their_users(spark, plan):
+    assert exchanged(plans.QUERIES["entropy_features"](spark, SF)) == 0
+
+
 def test_events_meet_their_own_items_only(spark, plan):
     assert "NestedLoop" not in plans.QUERIES["cross_features"](spark, SF)._jdf.queryExecution().executedPlan().toString()
