@@ -138,7 +138,9 @@ def user_features(rich: DataFrame, specs: DataFrame, windows: tuple[int, ...] =
         melted = past.select(*key, "age", "quantity", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.col(a).alias("v")) for a in attributes])).alias("x")).select(*key, "age", "quantity", "x.a", "x.v")
         by_value = melted.groupBy(*key, "a", "v").agg(*[F.sum(F.when(F.col("age") < n, q)).alias(f"n_{n}") for n in windows])
         logs = by_value.groupBy(*key).agg(*[F.sum(F.when(F.col("a") == a, F.col(f"n_{n}") * F.log(F.col(f"n_{n}").cast("double")))).alias(f"log_{a}_{n}") for a in attributes for n in windows])
-        base = base.join(logs, key)
+        # both have one row a key, and lie with their users; a join on both keys would shuffle them
+        both = base.unionByName(logs, allowMissingColumns=True)
+        base = both.groupBy(*key).agg(*[F.max(c).alias(c) for c in both.columns if c not in key])
     share = lambda c, n: F.when(F.col(f"q_{n}") > 0, F.round(F.col(c) / F.nullif(F.col(f"q_{n}"), F.lit(0)), 6)).otherwise(0.0)
     out = [F.col("recency_days").cast("long").alias("recency_days"), F.when(F.col("days") > 1, F.round(F.date_diff("d1", "d0") / F.nullif(F.col("days") - 1, F.lit(0)), 6)).otherwise(0.0).alias("avg_gap_days")]
     for n in windows:
