@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomline.functions import expr
 from loomline.operators import features, history, profile, ranking, recall
 from loomline.plans import sql
+from loomline.session import configure
 from loomline.sources import retail
 
 PER_CHANNEL, UNION, FINAL, HISTORY = 50, 500, 12, 200
@@ -78,7 +79,8 @@ class Plan(retail.Retail):
     @cached_property
     def content_classes(self) -> tuple[DataFrame, DataFrame]:
         members, kinds = recall.content_classes(self.articles.repartition("item_id"))  # its single file is dealt out before texts are hashed
-        return members.persist(), kinds.persist()
+        kinds = kinds.persist()  # first, so that the members' plan, which is made when they are kept, reads the kept classes
+        return members.persist(), kinds
 
     def channel(self, name: str) -> DataFrame:
         h, k = self.user_history, PER_CHANNEL
@@ -151,6 +153,7 @@ def plan(spark: SparkSession, sf_dir: str, source) -> Plan:
     if key not in _PLANS:
         for old in [k for k in _PLANS if k[0] != key[0]]:
             del _PLANS[old]
+        configure(spark)
         _PLANS[key] = Plan(spark, sf_dir, source=source)
     return _PLANS[key]
 

@@ -77,3 +77,14 @@ def test_entropies_stay_with_their_users(spark, plan):
 
 def test_events_meet_their_own_items_only(spark, plan):
     assert "NestedLoop" not in plans.QUERIES["cross_features"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_read_the_kept_classes(plan):
+    members, kinds = plan.content_classes
+    read = members._jdf.queryExecution().executedPlan().toString()
+    assert kinds.is_cached and read.count("InMemoryRelation") == 2 and members.count() == plan.articles.count()
+
+
+def test_plan_text_is_bounded(spark, plan):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    assert len(plans.QUERIES["metrics_by_tier"](spark, SF)._jdf.queryExecution().explainString(mode)) < 60_000
