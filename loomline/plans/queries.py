@@ -137,7 +137,10 @@ class Plan(retail.Retail):
         labelled = ranking.with_labels(self.ranking_rows, self.targets, ["user_id", "item_id"])
         items = features.item_features(self.articles).select("item_id", "n_style_variants", "department_name_token")
         users = features.customer_features(self.customers).select("user_id", "age", "age_bucket")
-        return ranking.with_features(ranking.with_features(labelled, items, ["item_id"], "item_"), users, ["user_id"], "customer_")
+        # rows lie by user, so customers come first, and all that is shuffled by item is shuffled once
+        rows = ranking.with_features(ranking.with_features(labelled, users, ["user_id"], "customer_"), items, ["item_id"], "item_")
+        added = [c for prefix in ("item_", "customer_") for c in rows.columns if c.startswith(prefix) and c not in labelled.columns]
+        return rows.select(*labelled.columns, *added)
 
     @cached_property
     def pairs(self) -> DataFrame:

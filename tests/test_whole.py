@@ -1,6 +1,7 @@
 """Registered queries cover their whole input."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,11 @@ def test_members_read_the_kept_classes(plan):
 def test_plan_text_is_bounded(spark, plan):
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     assert len(plans.QUERIES["metrics_by_tier"](spark, SF)._jdf.queryExecution().explainString(mode)) < 60_000
+
+
+def test_ranking_rows_are_shuffled_once(plan):
+    """Customers meet the rows where they lie; the join by item is the last one."""
+    joins = re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join \[(\w+?)#", plan.ranking_dataset._jdf.queryExecution().sparkPlan().toString())
+    assert joins[:2] == ["item_id", "user_id"]
+    assert plan.ranking_dataset.columns[:2] == ["user_id", "item_id"]
+    assert plan.ranking_dataset.columns[-6:] == ["item_n_style_variants", "item_department_name_token", "item_missing", "customer_age", "customer_age_bucket", "customer_missing"]
