@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from loomline.llm import pieces
 from loomline.llm.common import buffers, configure, load, scratch, slices, table, written
 
-CHUNK = 8 << 20
+#: Bytes of text encoded at once; a worker holds arrays of several times as many bytes meanwhile.
+CHUNK = 4 << 20
 STORED = "doc_id long, row long, ids array<int>"
 END_ID = 2
 

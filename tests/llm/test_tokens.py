@@ -90,3 +90,19 @@ def test_pruning(spark):
 
     assert one.first().ids == [*Tokenizer.from_file(BYTE).encode("text 77").ids, 2]
     assert token_files.stored_tokens(spark.createDataFrame([], "doc_id long, text string"), BYTE).count() == 0
+
+
+def test_memory_of_a_chunk():
+    """Two workers share an executor's 1.2 GB beside its heap."""
+    import tracemalloc
+
+    from loomline.llm import pieces
+
+    known, _ = pieces.byte_level_encoder(BYTE)
+    data = np.frombuffer((b"some words of a text, " * (token_files.CHUNK // 22 + 1))[: token_files.CHUNK], np.uint8)
+    tracemalloc.start()
+    at, drop = pieces.byte_level_cuts(data, np.array([len(data)]))
+    pieces.gather(pieces.encode_pieces(data, at, drop, known), known.bounds, known.ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 << 20
